@@ -123,7 +123,7 @@ def near_groups(docs: DataFrame, radius: int = 2, words: int = 3, id_col: str =
     return rows.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
-def drop_near_copies(docs: DataFrame, radius: int = 3, words: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def drop_near_copies(docs: DataFrame, radius: int = 2, words: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` without those that another document of their component stands for: its smallest id stays.
 
     Rows with a null id stay, as no other can be told from them; of repeated ids all rows stay or go.

@@ -159,8 +159,10 @@ def read_records(index: DataFrame, select: Column | None = None, payloads: bool
             file.close()
 
     chosen = (index.where(select) if select is not None else index).select("path", "offset", "length")
-    # a file's records in pieces of 64 MB, so that a large archive is read by many tasks
-    chosen = chosen.repartition("path", F.floor(F.col("offset") / (64 << 20))).sortWithinPartitions("path", "offset")
+    # a file's records in pieces of 8 MB, so that a large archive is read by many tasks; a fixed number of partitions, as
+    # the index's few bytes say nothing of what its rows make a task read
+    many = int(index.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    chosen = chosen.repartition(many, "path", F.floor(F.col("offset") / MOST)).sortWithinPartitions("path", "offset")
     return chosen.mapInArrow(read, shape)
 
 
