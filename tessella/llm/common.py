@@ -44,6 +44,39 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: Rows of a narrow table (numbers and digests) that may be broadcast: some ten megabytes.
+_SMALL = 100_000
+
+
+def if_small(df: DataFrame, most: int = _SMALL) -> DataFrame:
+    """Marks a written or checkpointed narrow table for broadcast if it is counted to have at most ``most`` rows.
+
+    A larger one joins by a shuffle, whose crowded partitions Spark splits.
+    """
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
+def bounded_batches(df: DataFrame, most: int = 512) -> DataFrame:
+    """Lowers the session's number of rows in an Arrow batch to ``most``, as a batch of texts is held in memory whole."""
+    conf = df.sparkSession.conf
+    now = int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch"))
+    if now <= 0 or now > most:
+        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", most)
+    return df
+
+
+def release_memory() -> None:
+    """Gives memory that a task has freed back to the machine: Python workers live on after their tasks."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

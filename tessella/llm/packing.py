@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessella.llm.common import bounded_batches
 from tessella.llm.tokens import END_ID, default_tokenizer, encoder
 
 CAPACITY = 1024
@@ -92,7 +93,7 @@ def pack(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        encode, end = encoder(path), np.array([end_id], "<u4").tobytes()
+        encode = encoder(path)
         packer = Packer(TaskContext.get().partitionId() * _PER_TASK, capacity)
 
         def flush() -> pa.RecordBatch:
@@ -100,13 +101,12 @@ def pack(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY
             names = [x.split()[0] for x in _PIECES.split(", ")]
             return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)], names)
 
-        for batch in batches:
-            for key, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                packer.add(key, np.frombuffer(encode(text.as_py()) + end, "<u4"))
-                if len(packer.rows) >= 20_000:
-                    yield flush()
+        for key, ids in encode.documents(batches, end_id):
+            packer.add(key, ids)
+            if len(packer.rows) >= 20_000:
+                yield flush()
         packer.finish()
         if packer.rows:
             yield flush()
 
-    return docs.select(F.col(id_col).cast("long").alias("__id"), F.col(text_col).cast("string").alias("__text")).mapInArrow(run, _PIECES)
+    return bounded_batches(docs).select(F.col(id_col).cast("long").alias("__id"), F.col(text_col).cast("string").alias("__text")).mapInArrow(run, _PIECES)

@@ -16,17 +16,17 @@ from __future__ import annotations
 
 import io
 import os
-import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessella.llm.common import new_path, written
+from tessella.llm.common import bounded_batches, new_path, release_memory, written
 
 MAGIC = b"TSID0001"
 END_ID = 0
@@ -39,95 +39,160 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
-#: Parts of a unit that the pre-tokenizer surely cuts apart: Latin letters, plain punctuation, a newline before a non-space.
-_PARTS = re.compile(r" ?[A-Za-zÀ-ÖØ-öø-ÿ]+| ?[.,;:!?|#$%&*()]+|\n(?=\S)")
+#: A unit that the pre-tokenizer surely cuts in three: a newline, Latin letters, plain punctuation.
+_SIMPLE = "^(?P<lead>\n?)(?P<core>[A-Za-zÀ-ÖØ-öø-ÿ]*)(?P<tail>[.,;:!?|#$%&*()]*)$"
+#: Bytes of text that are encoded at once, about.
+_AT_ONCE = 4 << 20
 
 
 class Encoder:
-    """Ids of texts, as little-endian unsigned 32-bit bytes, equal to the library's on the whole text.
+    """Ids of texts, equal to the library's on each whole text.
 
-    The byte-level pre-tokenizer always cuts between a non-space and a single space that a non-space follows. So units
-    cut there are encoded apart, and repeated ones only once. A new unit that is wholly made of plain parts is put
-    together from them, new parts going to the library in one call; any other goes there whole, joined to its
-    neighbours where white space stands at its ends. Both memos are bounded by ``memo`` entries.
+    The byte-level pre-tokenizer always cuts between a non-space and a single space or newline that a non-space follows.
+    So texts are cut there, and the distinct units of a batch are encoded once. Simple units are cut further: their
+    letters, with the space before them, and their punctuation; new ones go to the library in one call. Other units go
+    there whole, and texts with other white space at a cut go there as they are. An index array puts all together.
+
+    The memo has two generations of at most ``memo`` entries: a full one becomes the old one, whose entries come back
+    when they are asked for.
     """
 
-    def __init__(self, path: str, memo: int = 1_000_000):
+    def __init__(self, path: str, memo: int = 100_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self._tok = Tokenizer.from_file(path)
         self.vocab = self._tok.get_vocab_size(with_added_tokens=True)
-        self._units: dict[str, bytes] = {}
-        self._parts: dict[str, bytes] = {}
+        self._memo: dict[str, bytes] = {}
+        self._old: dict[str, bytes] = {}
         self._most = memo
-        self._newline = self._tok.encode("\n", add_special_tokens=False).ids
-        self._apart = len(self._newline) == 1 and self._tok.encode("a\n b\nc", add_special_tokens=False).ids.count(self._newline[0]) == 2
+        newline = self._tok.encode("\n", add_special_tokens=False).ids
+        self._newline_id, self._newline = newline[0], np.array(newline, "<u4").tobytes()
+        self._apart = len(newline) == 1 and self._tok.encode("a\n b\nc", add_special_tokens=False).ids.count(newline[0]) == 2
 
     def _raw(self, units: list[str]) -> list[bytes]:
-        return [np.asarray(e.ids, "<u4").tobytes() for e in self._tok.encode_batch_fast(units, add_special_tokens=False)]
-
-    def _learn_parts(self, parts: list[str]) -> None:
-        """One call for all: a newline, which no part but itself holds, keeps them apart."""
-        new = [p for p in dict.fromkeys(parts) if p not in self._parts and p != "\n"]
-        if len(self._parts) + len(new) > self._most:
-            self._parts.clear()
-            new = [p for p in dict.fromkeys(parts) if p != "\n"]
-        self._parts["\n"] = np.asarray(self._newline, "<u4").tobytes()
-        if new:
-            ids = np.frombuffer(self._raw(["\n".join(new)])[0], "<u4")
-            ends = [*np.flatnonzero(ids == self._newline[0]).tolist(), len(ids)]
+        return [np.array(e.ids, "<u4").tobytes() for e in self._tok.encode_batch_fast(units, add_special_tokens=False)] if units else []
+
+    def _ids(self, units: list[str], lines: bool) -> list[bytes]:
+        """Ids of distinct units; ``lines``: none holds a newline, so new ones take one call, a newline between them."""
+        if len(self._memo) > self._most:
+            self._old, self._memo = self._memo, {}
+        memo, old = self._memo, self._old
+        missing = [u for u in units if u not in memo]
+        new = [u for u in missing if u not in old]
+        if len(new) < len(missing):
+            memo.update((u, old[u]) for u in missing if u in old)
+        if new and lines and self._apart:
+            ids = np.array(self._tok.encode_batch_fast(["\n".join(new)], add_special_tokens=False)[0].ids, "<u4")
+            ends = np.append(np.flatnonzero(ids == self._newline_id), len(ids))
             if len(ends) != len(new):
                 raise ValueError("this tokenizer does not keep lines apart")
-            flat, at = ids.tobytes(), 0
-            for part, end in zip(new, ends):
-                self._parts[part] = flat[4 * at : 4 * end]
-                at = end + 1
-
-    def _learn(self, units: list[str]) -> dict[str, bytes]:
-        made = [_PARTS.findall(u) if self._apart else [] for u in units]
-        made = [m if "".join(m) == u else None for m, u in zip(made, units)]
-        self._learn_parts([p for m in made if m for p in m])
-        whole = [u for m, u in zip(made, units) if m is None]
-        out = dict(zip(whole, self._raw(whole))) if whole else {}
-        parts = self._parts
-        out.update((u, b"".join([parts[p] for p in m])) for m, u in zip(made, units) if m is not None)
-        return out
-
-    @staticmethod
-    def _joined(words: list[str]) -> list[str]:
-        units, now = [], words[0]
-        for before, word in zip(words, words[1:]):
-            if before and word and not before[-1].isspace() and not word[0].isspace():
-                units.append(now)
-                now = " " + word
-            else:
-                now += " " + word
-        units.append(now)
-        return units
+            flat = ids.tobytes()
+            memo.update((u, flat[a:b]) for u, a, b in zip(new, (4 * np.append(0, ends[:-1] + 1)).tolist(), (4 * ends).tolist()))
+        else:
+            memo.update(zip(new, self._raw(new)))
+        return list(map(memo.__getitem__, units))
+
+    def batch(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """All ids one after another, and each text's place: the ids of text i are from places[i] to places[i + 1]."""
+        texts = pc.fill_null(texts, "")
+        if not len(texts):
+            return np.zeros(0, "<u4"), np.zeros(1, np.int64)
+        cut = pc.split_pattern(pc.replace_substring(texts, "\n", " \n"), " ")
+        at = cut.offsets.to_numpy().astype(np.int64)
+        at, coded = at - at[0], cut.flatten().dictionary_encode()
+        seq, starts, many = coded.indices.to_numpy(), at[:-1], np.diff(at)
+        later = np.ones(len(seq), bool)
+        later[starts] = False  # the first word has no space before it, and is encoded by itself
+        used = np.zeros(len(coded.dictionary), bool)
+        used[seq[later]] = True
+        words = coded.dictionary.filter(pa.array(used))
+        # simple words: lead, core and tail; of others the whole is the core
+        found = pc.extract_regex(words, _SIMPLE)
+        lead, core, tail = (pc.struct_field(found, i) for i in range(3))
+        simple = pc.fill_null(pc.not_equal(core, ""), False)
+        plain = simple.to_numpy(zero_copy_only=False)
+        led = pc.fill_null(pc.equal(lead, "\n"), False)
+        spaced = pc.binary_join_element_wise(pc.if_else(pc.and_(simple, led), "", " "), pc.if_else(simple, core, ""), "").dictionary_encode()
+        ends = pc.if_else(simple, tail, "").dictionary_encode()
+        others = words.filter(pc.invert(simple)).to_pylist()
+        bad = np.array([not (w := x.removeprefix("\n")) or w[0].isspace() or w[-1].isspace() for x in others], bool)
+        table = [b"", self._newline]
+
+        def listed(names: list[str], empty: str) -> np.ndarray:
+            """Puts the ids of names into the table, and says where each is; ``empty`` has none."""
+            place, skip = np.arange(len(table), len(table) + len(names)), names.index(empty) if empty in names else -1
+            if skip >= 0:
+                place[skip], place[skip + 1 :] = 0, place[skip + 1 :] - 1
+            table.extend(self._ids(names[:skip] + names[skip + 1 :] if skip >= 0 else names, True))
+            return place
+
+        where, tails = listed(spaced.dictionary.to_pylist(), " "), listed(ends.dictionary.to_pylist(), "")
+        # three slots a word: newline, letters (or whole), punctuation
+        slots = np.zeros((len(coded.dictionary), 3), np.int32)
+        rows = np.flatnonzero(used)
+        slots[rows, 0] = (led.to_numpy(zero_copy_only=False) & plain).astype(np.int64)
+        slots[rows, 1] = where[spaced.indices.to_numpy()]
+        slots[rows, 2] = tails[ends.indices.to_numpy()]
+        whole = [x if x[:1] == "\n" else " " + x for x, b in zip(others, bad.tolist()) if not b]
+        odd_words = rows[~plain]
+        slots[odd_words[~bad], 1] = len(table) + np.arange(len(whole))
+        table += self._ids(whole, False)
+        flawed = np.zeros(len(coded.dictionary), bool)
+        flawed[odd_words[bad]] = True
+        odd = np.add.reduceat((flawed[seq] & later).astype(np.int64), starts) > 0
+        opening = coded.dictionary.take(coded.indices.take(pa.array(starts))).to_pylist()
+        odd |= np.array([bool(w) and w[-1].isspace() for w in opening])
+        rare = odd.tolist()
+        known = list(dict.fromkeys(w for w, o in zip(opening, rare) if w and not o))
+        known = dict(zip(known, self._ids(known, False)))
+        ahead = len(table)
+        table += [b"" if o else known.get(w, b"") for w, o in zip(opening, rare)]
+        odd_rows = np.flatnonzero(odd).tolist()
+        for row, raw in zip(odd_rows, self._raw([texts[r].as_py() for r in odd_rows])):
+            table[ahead + row] = raw
+        order = slots[seq]
+        order[starts] = 0
+        order[starts, 1] = ahead + np.arange(len(starts))
+        order[np.repeat(odd, many) & later] = 0  # an odd text is one unit, in its first place
+        order = order.ravel()
+        sizes = np.fromiter(map(len, table), np.int64, len(table)) // 4
+        begin = np.cumsum(sizes) - sizes
+        lengths = sizes[order]
+        upto = np.cumsum(lengths)
+        pick = np.repeat(begin[order] - (upto - lengths), lengths) + np.arange(int(upto[-1]))
+        flat = np.frombuffer(b"".join(table), "<u4")[pick]
+        return flat, np.concatenate([[0], upto])[3 * at]
+
+    def documents(self, batches: Iterator[pa.RecordBatch], end_id: int) -> Iterator[tuple[int | None, np.ndarray]]:
+        """Keys and ids of batches of (key, text), the end id appended to each; encoded in slices of bounded size."""
+
+        def slices() -> Iterator[list[pa.RecordBatch]]:
+            held, size = [], 0
+            for batch in batches:
+                sizes = pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False)
+                row = 0
+                for at, n in enumerate(sizes.tolist()):
+                    if size and size + n > _AT_ONCE:
+                        held.append(batch.slice(row, at - row))
+                        yield held
+                        held, size, row = [], 0, at
+                    size += n
+                held.append(batch.slice(row))
+            yield held
+
+        for held in slices():
+            held = pa.Table.from_batches([b for b in held if b.num_rows]) if any(b.num_rows for b in held) else None
+            if held is None:
+                continue
+            flat, place = self.batch(held.column(1).combine_chunks())
+            place = place.tolist()
+            for key, a, b in zip(held.column(0).to_pylist(), place, place[1:]):
+                yield key, np.append(flat[a:b], np.uint32(end_id))
+        release_memory()
 
     def __call__(self, text: str | None) -> bytes:
-        if not text:
-            return b""
-        memo = self._units
-        first, *rest = text.split(" ")
-        found = list(map(memo.get, rest))
-        odd = bool(first) and first[-1].isspace()
-        if None in found:
-            new = list(dict.fromkeys(w for w, v in zip(rest, found) if v is None))
-            odd = odd or any(not w or w[0].isspace() or w[-1].isspace() for w in new)
-            if not odd:
-                if len(memo) + len(new) > self._most:
-                    memo.clear()
-                    new = list(dict.fromkeys(rest))
-                made = self._learn([" " + w for w in new])
-                memo.update((w, made[" " + w]) for w in new)
-                found = list(map(memo.__getitem__, rest))
-        if odd:
-            units = self._joined([first, *rest])
-            made = self._learn(list(dict.fromkeys(units)))
-            return b"".join([made[u] for u in units])
-        return (self._learn([first])[first] if first else b"") + b"".join(found)
+        return self.batch(pa.array([text], pa.string()))[0].tobytes()
 
 
 @lru_cache(maxsize=2)
@@ -259,23 +324,20 @@ def write_shards(docs: DataFrame, folder: str, id_col: str = "doc_id", text_col:
 
         encode = encoder(path)
         width = 2 if encode.vocab <= 1 << 16 else 4
-        end = np.array([end_id], f"<u{width}").tobytes()
         out, keys, lengths, nulls, name = None, [], [], 0, ""
-        for batch in batches:
-            for key, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                if out is None:
-                    store, base = fs.FileSystem.from_uri(folder)
-                    store.create_dir(base, recursive=True)
-                    name = f"ids-{TaskContext.get().partitionId():06d}-{uuid.uuid4().hex}.tok"
-                    out = store.open_output_stream(f"{base}/{name}", buffer_size=1 << 20)
-                    out.write(MAGIC)
-                ids = encode(text.as_py())
-                if key is None:
-                    nulls += 1
-                else:
-                    keys.append(key)
-                lengths.append(len(ids) // 4 + 1)
-                out.write((np.frombuffer(ids, "<u4").astype(f"<u{width}").tobytes() if width == 2 else ids) + end)
+        for key, ids in encode.documents(batches, end_id):
+            if out is None:
+                store, base = fs.FileSystem.from_uri(folder)
+                store.create_dir(base, recursive=True)
+                name = f"ids-{TaskContext.get().partitionId():06d}-{uuid.uuid4().hex}.tok"
+                out = store.open_output_stream(f"{base}/{name}", buffer_size=1 << 20)
+                out.write(MAGIC)
+            if key is None:
+                nulls += 1
+            else:
+                keys.append(key)
+            lengths.append(len(ids))
+            out.write(ids.astype(f"<u{width}").tobytes())
         if out is None:
             return
         offsets = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int64)
@@ -287,7 +349,7 @@ def write_shards(docs: DataFrame, folder: str, id_col: str = "doc_id", text_col:
         out.close()
         yield pa.RecordBatch.from_pydict({"shard": pa.array([TaskContext.get().partitionId()], pa.int32()), "path": [f"{folder}/{name}"], "n_rows": [len(lengths)], "n_tokens": [int(offsets[-1])]})
 
-    rows = docs.select(F.col(id_col).cast("long").alias("__id"), F.col(text_col).cast("string").alias("__text"))
+    rows = bounded_batches(docs).select(F.col(id_col).cast("long").alias("__id"), F.col(text_col).cast("string").alias("__text"))
     return written(rows.repartitionByRange("__id").sortWithinPartitions("__id", "__text").mapInArrow(write, _MANIFEST), "manifest")
 
 
