@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessella.llm.common import without_blanks, written
+from tessella.llm.common import if_small, without_blanks, written
 
 #: Fingerprints of a block that a merge holds at once, as an aim.
 _BLOCK = 50_000
@@ -139,14 +139,15 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns; of rows that repeat id and text, one stays."""
     groups = written(exact_groups(docs, id_col, text_col), "exact-groups")
-    gone = groups.where("not kept").select(F.col("doc_id").alias("__gone"), F.col("text_sha256").alias("__sha"))
-    again = written(gone.join(groups.where("kept").select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__own")), F.col("__gone").eqNullSafe(F.col("__id")) & (F.col("__sha") == F.col("__own")), "left_semi").distinct(), "exact-again")
-    key = F.sha2(without_blanks(F.col(text_col).cast("string")), 256)
-    alone = gone.join(again, F.col("__gone").eqNullSafe(again["__gone"]) & (gone["__sha"] == again["__sha"]), "left_anti") if again.limit(1).count() else gone
-    named = docs.withColumn("__key", key)
-    left = named.join(alone.distinct(), named[id_col].cast("long").eqNullSafe(F.col("__gone")) & (F.col("__key") == F.col("__sha")), "left_anti")
-    if again.limit(1).count():
-        twice = again.select(F.col("__gone").alias("__id"), F.col("__sha").alias("__own"))
-        on = left[id_col].cast("long").eqNullSafe(F.col("__id")) & (F.col("__key") == F.col("__own"))
-        left = left.join(twice, on, "left_anti").unionByName(left.join(twice, on, "left_semi").dropDuplicates([id_col, "__key"]))
-    return left.drop("__key")
+    pairs = lambda rows, k, v: rows.select(F.col("doc_id").alias(k), F.col("text_sha256").alias(v)).distinct()
+    gone, stays = pairs(groups.where("not kept"), "__gone", "__gone_sha"), pairs(groups.where("kept"), "__stays", "__stays_sha")
+    same = F.col("__gone").eqNullSafe(F.col("__stays")) & (F.col("__gone_sha") == F.col("__stays_sha"))
+    # an id and text that both go and stay are repeated rows, of which one is kept
+    alone = if_small(written(gone.join(stays, same, "left_anti"), "exact-gone"))
+    twice = if_small(written(gone.join(stays, same, "left_semi"), "exact-twice"))
+    named = docs.withColumn("__id", F.col(id_col).cast("long")).withColumn("__key", F.sha2(without_blanks(F.col(text_col).cast("string")), 256))
+    on = F.col("__id").eqNullSafe(F.col("__gone")) & (F.col("__key") == F.col("__gone_sha"))
+    left = named.join(alone, on, "left_anti")
+    if twice.limit(1).count():
+        left = left.join(twice, on, "left_anti").unionByName(left.join(twice, on, "left_semi").dropDuplicates(["__id", "__key"]))
+    return left.drop("__id", "__key")

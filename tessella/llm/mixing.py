@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessella.llm.common import checkpointed, n_words, written
+from tessella.llm.common import checkpointed, if_small, n_words, written
 
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
@@ -138,7 +138,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", tex
     hash, so at the end of a budget they go or stay together. An empty table gives no rows.
     """
     rows = written(_rows(docs, id_col, source_col, text_col), "mix-rows")
-    placed = rows.join(decisions(rows, weights, share, most), ["__key", "__cls"])
+    placed = rows.join(if_small(decisions(rows, weights, share, most)), ["__key", "__cls"])
     return placed.select(F.col("__id").alias("doc_id"), F.col("__size").alias("size"), F.col("__total").cast("long").alias("source_size"), F.col("__target").alias("target"), (F.col("__size") * _copies()).cast("long").alias("taken"), _copies().alias("copies"))
 
 
@@ -146,5 +146,5 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", source_col: str = "
     """The mix itself: rows of ``docs``, all columns, each as often as it is taken."""
     rows = written(_rows(docs, id_col, source_col, text_col), "mix-rows")
     full = _rows(docs, id_col, source_col, text_col, *docs.columns)
-    placed = full.join(decisions(rows, weights, share, most), ["__key", "__cls"]).withColumn("__times", F.when(F.col("__size") > 0, _copies()).otherwise(0))
+    placed = full.join(if_small(decisions(rows, weights, share, most)), ["__key", "__cls"]).withColumn("__times", F.when(F.col("__size") > 0, _copies()).otherwise(0))
     return placed.where("__times > 0").withColumn("__each", F.explode(F.sequence(F.lit(1), F.col("__times")))).select(*docs.columns)
