@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from tessella.llm.common import sample_by_hash
+from tessella.llm.common import bounded_batches, release_memory, sample_by_hash
 
 N = 3
 BUCKETS = 1 << 16
@@ -92,7 +92,7 @@ def fit(docs: DataFrame, chosen: Column, text_col: str = "text", lang_col: str =
 
     known = docs.where(chosen & F.col(lang_col).isNotNull()).select(F.col(id_col).alias("__id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"))
     picked = sample_by_hash(known, "__id", sample).select("lang", "text")
-    table = picked.mapInArrow(count, "lang string, bucket int, n double").groupBy("lang", "bucket").agg(F.sum(F.round("n", 6)).alias("n")).toArrow()
+    table = bounded_batches(picked).mapInArrow(count, "lang string, bucket int, n double").groupBy("lang", "bucket").agg(F.sum(F.round("n", 6)).alias("n")).toArrow()
     lang, bucket, n = (table.column(i).to_numpy() for i in range(3))
     languages = sorted(set(lang.tolist()))
     if not languages:
@@ -117,9 +117,10 @@ def annotate(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame
         for batch in batches:
             found = [m.score(t.as_py()) for t in batch.column(at)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([x for x, _ in found], pa.string()), pa.array([y for _, y in found], pa.float64())], names)
+        release_memory()
 
     schema = StructType([*docs.schema.fields, StructField("__lang_pred", StringType()), StructField("__lang_score", DoubleType())])
-    return docs.mapInArrow(run, schema)
+    return bounded_batches(docs).mapInArrow(run, schema)
 
 
 def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

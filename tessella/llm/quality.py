@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm.common import sample_by_hash
+from tessella.llm.common import bounded_batches, sample_by_hash
 
 #: Labelled rows that training gathers, about; a bound, not a share.
 SAMPLE = 20_000
@@ -186,7 +186,7 @@ def train(x: np.ndarray, y: np.ndarray, n_bins: int = 32, rounds: int = 120, pai
 
 def _measured(docs: DataFrame, keep: list[str], text_col: str) -> DataFrame:
     """The columns of ``keep`` and the features as one array."""
-    slim = docs.select(*keep, F.col(text_col).cast("string").alias("__text"))
+    slim = bounded_batches(docs).select(*keep, F.col(text_col).cast("string").alias("__text"))
     names = [*keep, "__x"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -225,5 +225,5 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
             s = m.score(x)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(s, pa.float64()), pa.array((s >= threshold).astype(np.int32), pa.int32())], ["doc_id", "score", "predicted"])
 
-    slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("__text"))
+    slim = bounded_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("__text"))
     return slim.mapInArrow(run, "doc_id long, score double, predicted int")

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm.common import checkpointed, written
+from tessella.llm.common import bounded_batches, checkpointed, if_small, release_memory, written
 from tessella.llm.components import components
 
 SEED = 42
@@ -52,8 +52,9 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         for batch in batches:
             prints = np.array([fingerprint(t.as_py(), words) for t in batch.column(1)], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints, pa.int64())], ["doc_id", "fp"])
+        release_memory()
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("__text")).mapInArrow(run, "doc_id long, fp long")
+    return bounded_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("__text")).mapInArrow(run, "doc_id long, fp long")
 
 
 def _ball(radius: int) -> list[int]:
@@ -129,4 +130,4 @@ def drop_near_copies(docs: DataFrame, radius: int = 2, words: int = 3, id_col: s
     Rows with a null id stay, as no other can be told from them; of repeated ids all rows stay or go.
     """
     gone = written(near_groups(docs, radius, words, id_col, text_col).where("doc_id != component_id").select(F.col("doc_id").alias("__gone")).distinct(), "simhash-gone")
-    return docs.join(gone, docs[id_col].cast("long") == F.col("__gone"), "left_anti")
+    return docs.join(if_small(gone), docs[id_col].cast("long") == F.col("__gone"), "left_anti")

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm.common import new_path, written
+from tessella.llm.common import bounded_batches, new_path, written
 
 DATE = "2025-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -74,7 +74,7 @@ def write_archives(pages: DataFrame, folder: str, least: int = 0, id_col: str =
     another id has its payload. An empty table makes no archive. Payloads count as equal if SHA-1, SHA-256 and length are.
     """
     body = F.encode(F.coalesce(F.col(html_col).cast("string"), F.lit("")), "UTF-8")
-    rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), body.alias("body"))
+    rows = bounded_batches(pages).select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), body.alias("body"))
     keyed = rows.withColumn("sha", F.concat(F.sha1("body"), F.sha2("body", 256), F.length("body").cast("string")))
     counted = keyed.where(F.length("body") >= least).groupBy("sha").agg(F.min("page_id").alias("least"), F.count(F.lit(1)).alias("n"))
     first = written(counted.where("n > 1").select(F.col("sha").alias("__sha"), "least"), "warc-first")
