@@ -92,8 +92,12 @@ def by_language(df: DataFrame, lang_col: str, languages: list[str], otherwise: L
 
 
 def sentences(df: DataFrame, *keep: str, array: str = "sentences") -> DataFrame:
-    """One row per sentence: the kept columns, ``sent_id`` from 0, and ``sent`` or the record's fields."""
-    out = df.select(*keep, F.posexplode(array).alias("sent_id", "sent"))
+    """One row per sentence: the kept columns, ``sent_id`` from 0, and ``sent`` or the record's fields.
+
+    The outer form and a filter above it: of the plain form Spark infers a filter on the array, which it would push down
+    through every stage, writing each stage's expression into it.
+    """
+    out = df.select(*keep, F.posexplode_outer(array).alias("sent_id", "sent")).where(F.col("sent_id").isNotNull())
     if out.schema["sent"].dataType.typeName() == "struct":
         return out.withColumnRenamed("sent", "__r").select(*keep, "sent_id", "__r.*")
     return out

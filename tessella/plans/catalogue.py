@@ -1,4 +1,4 @@
-"""Registered queries over the driver's tables."""
+"""All registered queries over the driver's tables, and SQL for those that SQL can express."""
 
 from __future__ import annotations
 
@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tessella.plans import probes, relational
+
 FLAGSHIP = "segment_docs"
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = relational.QUERIES | probes.QUERIES
+ORACLES: dict[str, str] = relational.ORACLES | probes.ORACLES
