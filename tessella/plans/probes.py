@@ -10,7 +10,7 @@ from typing import NamedTuple
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.functions.columns import Stage, run
+from tessella.functions.columns import Stage, any_of, each, run, sub
 from tessella.functions.languages import profile
 from tessella.functions.sentinels import unmask
 from tessella.operators import cleaning, lists, masking
@@ -77,6 +77,16 @@ def _list_oracle(marker: str, value: str, first: str, mark: str) -> str:
     )
 
 
+def _each(pattern: str, body: str) -> str:
+    """Rebuilds {t} with every match of a pattern changed by ``body``, over {m}."""
+    sides = f"SELECT string_split_regex({{t}}, '{pattern}') AS g, regexp_extract_all({{t}}, '{pattern}') AS m"
+    return f"(SELECT array_to_string(list_transform(range(1, len(g) + 1), lambda i: g[i] || coalesce({body.replace('{m}', 'm[i]')}, '')), '') FROM ({sides}))"
+
+
+_MASKED = "translate({m}, '.!?', '\ue000\ue004\ue005')"
+_DE = profile("de")
+_DE_WORDS = {w.strip() for ws in (_DE.abbreviations, _DE.prepositive, _DE.number) for w in ws}
+_MONTHS = "Januar|Februar|März|April|Mai|Juni|Juli|August|September|Oktober|November|Dezember"
 _ROMANS = "['" + "','".join(lists.ROMAN[:20]) + "']"
 
 PROBES: list[Probe] = [
@@ -107,6 +117,17 @@ PROBES: list[Probe] = [
     Probe("mask_quotes_double", "'She said \"' || p_name || '. Go! Now?\" to ' || p_brand || '. \"x.\"'", lambda: [masking.DOUBLE_QUOTES], "array_to_string(list_transform(string_split({t}, '\"'), lambda x, i: CASE WHEN i % 2 = 0 THEN translate(x, '.!?', chr(57344) || chr(57348) || chr(57349)) ELSE x END), '\"')"),
     Probe("mask_ellipsis", "p_name || '... The ' || p_brand || ' . . . x and that.... She... it ' || lower(p_type)", lambda: masking.ELLIPSES, _chain("{t}", (r"(?:\s\.){{3}}\s", "repeat(chr(57377) || chr(57376), 3) || chr(57377)"), (r"(\S)\.{{4}}(\s+[A-Z])", r"'\1' || repeat(chr(57376), 3) || '.\2'"), (r"\.\.\.(\s+[A-Z])", r"repeat(chr(57376), 2) || '.\1'"), (r"\.\.\.", "repeat(chr(57376), 3)"))),
     Probe("mask_common", "p_name || ' .pdf file? ' || 'go! he' || '!, x 5°C. 7 ' || p_brand || ' what?\" no!\" a.b.c d_e.f'", lambda: masking.COMMON, _chain("{t}", (r"([a-zA-Z]°)\.(\s*\d+)", r"'\1' || chr(57344) || '\2'"), (r"(\s)\.((?:pdf|txt|doc)\s)", r"'\1' || chr(57344) || '\2'"), (r"\?([\"''])", r"chr(57349) || '\1'"), (r"!([\"''])", r"chr(57348) || '\1'"), (r"!(,\s[a-z])", r"chr(57348) || '\1'"), (r"!(\s[a-z])", r"chr(57348) || '\1'"), (r"(\w)\.(\w)", r"'\1' || chr(57344) || '\2'"), (r"(\w)\.(\w)", r"'\1' || chr(57344) || '\2'"))),
+    Probe("mask_cited", "'He said \"' || p_name || '.\" (see p. 5. x) \"' || p_brand || '!\" (no. 7) end'", lambda: [masking.CITED], _each(r'["”]\s\([^)]*\)\s["“]', "replace(replace({m}, ' (', chr(13) || '('), ') ', ')' || chr(13))")),
+    Probe("mask_quotes_single", f"'he said ' || {Q} || p_name || '. Go!' || {Q} || ' to ' || p_brand || '. Then ' || {Q} || 'no.' || {Q}", lambda: [masking._single_quotes], _each(r"(?:^|\s)''[^\s''][^'']*''", _MASKED)),
+    Probe("mask_parens", "p_name || ' (p. 5. now!) x. (' || p_brand || '?) () (a. (b.) c.'", lambda: [masking._PAIRS[4]], _each(r"\([^()\r\n]+\)", _MASKED)),
+    Probe("mask_brackets", "p_name || ' [p. 5. now!] x. [' || p_brand || '?] [] end.'", lambda: [masking._PAIRS[3]], _each(r"\[[^\]\r\n]+\]", _MASKED)),
+    Probe("mask_dashes", "p_name || ' --so. what?-- x. --' || p_brand || '! y. z'", lambda: [masking._PAIRS[6]], _each(r"--[^-\r\n]*--", _MASKED)),
+    Probe("mask_arrows", "p_name || ' «so. what?» x. “' || p_brand || '!” y.'", lambda: masking._PAIRS[1:3], _each("«[^»]+»|“[^”]+”", _MASKED)),
+    Probe("mask_pairs_de", "p_name || ' „so. what?“ x. ,,' || p_brand || '!“ y.'", lambda: [each(x, masking.mask) for x in _DE.pairs], _each("„[^“]+“|,,[^“]+“", _MASKED)),
+    Probe("mask_all_periods_de", f"'Das ist z.B. ein Bsp. und Nr. ' || {SIZE} || ' von Dr. ' || p_name || ' usw. am Ende.'", lambda: masking.lexicon(_DE), _each(rf"(?i)\b(?:{any_of(w for w in _DE_WORDS if not w.endswith('.'))})\.", f"replace({{m}}, '.', {P})")),
+    Probe("mask_rules_de", f"'am ' || {SIZE} || '. Mai und ' || {SIZE} || '. im x. Jahr ' || p_name || '.'", lambda: [sub(a, b) for a, b in _DE.rules], _chain("{t}", (rf"(\d)\.(\s*(?:{_MONTHS}))", r"'\1' || chr(57344) || '\2'"), (r"((?:^|\s)-?\d{{1,2}})\.(\s)", r"'\1' || chr(57344) || '\2'"), (r"((?:^|\s)[a-z])\.(\s)", r"'\1' || chr(57344) || '\2'"))),
+    Probe("clean_rules_ja", f"p_name || 'の' || {NL} || p_brand || 'の' || {NL} || ' x'", lambda: [cleaning.Edit(a, b).stage for a, b in profile("ja").clean_rules], rr("{t}", r"(の)\n(\S)", r"'\1\2'")),
+    Probe("custom_rules", "p_name || ' <x> ' || p_brand || ' ###'", lambda df, col: cleaning.clean(df, col, custom=[("#+", "$"), ("small", "tiny")]), _chain("replace({t}, ' <x>', ' ')", ("#+", "'$'"), ("small", "'tiny'"))),
     Probe("unmask_all", f"p_name || {P} || '\ue004\ue005' || p_brand || '\ue010\ue013\ue00b\ue021'", lambda: [unmask], "replace(replace(replace(translate({t}, chr(57344) || chr(57348) || chr(57349) || chr(57377), '.!? '), chr(57360), '?!'), chr(57363), '!!'), chr(57355), '')"),
     Probe("numbered_list_validity", _LISTED, lists.mask_numbered, _list_oracle(r"\d{{1,3}}\.", "CAST(regexp_extract(x, '\\d+') AS INTEGER)", "(v[i] = 1 AND i = 1)", "replace({x}, '.', chr(57344))")),
     Probe("alpha_list_validity", _ALPHA, lists.mask_lettered, _list_oracle(r"[a-z]\)", "ascii(regexp_extract(x, '[a-z]'))", "false", "{x}")),

@@ -36,6 +36,20 @@ def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 _LINES = "(SELECT doc_id, lang, source, CAST(i - 1 AS INTEGER) AS line_id, CAST(coalesce(list_sum(list_transform(l[1:i - 1], lambda x: length(x) + 1)), 0) AS INTEGER) AS start_at, l[i] AS line FROM (SELECT doc_id, lang, source, l, unnest(range(1, len(l) + 1)) AS i FROM (SELECT doc_id, lang, source, string_split(text, chr(10)) AS l FROM documents)) WHERE length(trim(l[i])) > 0)"
 
 
+def blank_filter(spark, sf_dir):
+    """Conversations' lines that are not blank, with what they hold: a digit, a word, an end mark."""
+    turns = _table(spark, sf_dir, "conversations").select("conv_id", "turn", F.posexplode(F.split("text", "\n")).alias("line_id", "line"))
+    has = lambda p: F.rlike("line", F.lit(p))
+    return turns.where(~has(r"^\s*$")).select("conv_id", "turn", "line_id", has(r"\d").alias("digit"), has("[A-Za-z]").alias("word"), F.right("line", F.lit(1)).isin(".", "!", "?").alias("ended"))
+
+
+def word_sets(spark, sf_dir):
+    """Distinct words of each benchmark item, and whether any or all of them are among a few."""
+    items = _table(spark, sf_dir, "benchmark").select("item_id", F.array_distinct(F.split(F.lower(F.regexp_replace("text", "[^A-Za-z ]", "")), " +")).alias("words"))
+    few = F.array(F.lit("the"), F.lit("of"))
+    return items.select("item_id", F.size("words").cast("long").alias("n"), F.arrays_overlap("words", few).alias("some"), F.forall(few, lambda w: F.array_contains(F.col("words"), w)).alias("every"), F.array_join(F.array_sort(F.array_union("words", few)), " ").alias("with_few"))
+
+
 def split_lines(spark, sf_dir):
     return _lines(spark, sf_dir).select("doc_id", "line_id", "start_at", F.length("line").alias("n"))
 
@@ -259,7 +273,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         segment_docs, segment_docs_multilang, segment_spans_docs, clean_spans_projected, segment_pdf, segment_chunked, sentence_stats_by_lang,
-        conversations_sentences_by_role, stream_sentences_available, split_lines, trim_spans, symbol_lines, boundary_matches, noise_merge_islands,
+        conversations_sentences_by_role, stream_sentences_available, blank_filter, word_sets, split_lines, trim_spans, symbol_lines, boundary_matches, noise_merge_islands,
         lexicon_semi_join, lexicon_set_lookup, lexicon_anti_join, lexicon_union, lexicon_except, lexicon_intersect, lexicon_longest_first,
         language_config_join, line_stats_by_lang, char_counts, lines_cube_lang_source, lines_rollup_lang_source, longest_lines_topk, duplicate_lines,
         benchmark_overlap_semi, benchmark_overlap_anti, conversations_lines_by_role, pass_counts, neighbour_lines, paragraph_chunks,
@@ -273,6 +287,8 @@ _WANTED = "(SELECT DISTINCT line FROM (SELECT unnest(string_split(text, chr(10))
 _TAG = r"</?[a-zA-Z0-9_:-]+(?:\s+[a-zA-Z0-9_:-]+(?:\s*=\s*(?:\"[^\"]*\"|''[^'']*''|[^''\">\s]+))?)*\s*/?>"
 
 ORACLES: dict[str, str] = {
+    "blank_filter": r"SELECT conv_id, turn, CAST(i - 1 AS INTEGER) AS line_id, regexp_matches(l[i], '\d') AS digit, regexp_matches(l[i], '[A-Za-z]') AS word, right(l[i], 1) IN ('.', '!', '?') AS ended FROM (SELECT conv_id, turn, l, unnest(range(1, len(l) + 1)) AS i FROM (SELECT conv_id, turn, string_split(text, chr(10)) AS l FROM conversations)) WHERE NOT regexp_matches(l[i], '^\s*$')",
+    "word_sets": "SELECT item_id, len(w) AS n, list_has_any(w, ['the', 'of']) AS some, list_has_all(w, ['the', 'of']) AS every, array_to_string(list_sort(list_distinct(list_concat(w, ['the', 'of']))), ' ') AS with_few FROM (SELECT item_id, list_distinct(string_split_regex(lower(regexp_replace(text, '[^A-Za-z ]', '', 'g')), ' +')) AS w FROM benchmark)",
     "split_lines": f"SELECT doc_id, line_id, start_at, length(line) AS n FROM {_LINES}",
     "trim_spans": rf"SELECT doc_id, line_id, regexp_replace(line, '^\s+|\s+$', '', 'g') AS core, CAST(start_at + length(line) - length(regexp_replace(line, '^\s+', '')) AS INTEGER) AS from_at FROM {_LINES}",
     "symbol_lines": rf"SELECT doc_id, line_id, line FROM {_LINES} WHERE NOT regexp_matches(line, '[\p{{L}}\p{{N}}_]')",
