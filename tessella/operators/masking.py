@@ -13,6 +13,7 @@ from tessella.functions.sentinels import EXCLAMATION, PERIOD, QUESTION, mask
 
 # Contexts of an abbreviation's period.
 _LEFT = r"(?:^|(?<=[\s(\[{—–\-\"'“‘]))"
+_OPEN = r"(?:^|[\s(\[{—–\-\"'“‘])"
 _BIDI = r"\u200e\u200f\u202a-\u202e\u2066-\u2069"
 _GOES_ON = r"""(?=[.:\-?,!"'“”«»]|\s+(?:[a-zа-яё\u0600-\u06ff]|I\s|I'm|I'll|\d|\(|"|'|«|„))"""
 _ACRONYMS = rf"U{PERIOD}S|U\.S|U{PERIOD}K|E{PERIOD}U|E\.U|U{PERIOD}S{PERIOD}A|U\.S\.A|I|i{PERIOD}v|I{PERIOD}V|i\.v|I\.V"
@@ -32,7 +33,8 @@ def _dots(match: Column) -> Column:
 POSSESSIVE: Stage = sub(r"\.(?=(?:'s|’s|'S|’S)\b)", PERIOD)
 COMPANY: Stage = sub(r"(?Udi)(?<=Co)\.(?=\s*(?:KG|GmbH|OHG|AG)\b)", PERIOD, "o.")
 INITIALS: Stage = each(rf"(?:^|(?<=[\s{PERIOD}(\[{{—–\-\"'“‘]))(?:[A-ZА-ЯЁ]\.)+(?=[,.:\-?!]|\s|\s*$)", _dots, ".")
-SINGLE_LOWER: Stage = sub(rf"({_LEFT}[a-zа-яё])\.(?=\s+[a-zA-Zа-яёА-ЯЁ]|\s*$)", "$1" + PERIOD, ".")
+# a pattern that starts with the period is tried at periods only, and looks back from there
+SINGLE_LOWER: Stage = sub(rf"\.(?<={_OPEN}[a-zа-яё]\.)(?=\s+[a-zA-Zа-яёА-ЯЁ]|\s*$)", PERIOD, ".")
 HOURS: Stage = sub(rf"(?<=\b[AaPp]{PERIOD}[Mm]){PERIOD}(?=\s[A-Z])", ".", PERIOD)
 
 
@@ -57,9 +59,9 @@ def lexicon(p: Profile | None) -> list[Stage]:
     if compound:
         out.append(each(rf"{_LEFT}(?iu:{any_of(compound)})[{_BIDI}]*\.?[{_BIDI}]*{_GOES_ON}", _dots, "."))
     if ahead := single(p.prepositive):
-        out.append(sub(rf"({_LEFT}(?iu:{any_of(ahead)}))\.(?=\s|:\d+)", "$1" + PERIOD, "."))
+        out.append(sub(rf"\.(?<={_OPEN}(?iu:{any_of(ahead)})\.)(?=\s|:\d+)", PERIOD, "."))
     if counted := single(p.number):
-        out.append(sub(rf"({_LEFT}(?iu:{any_of(counted)}))\.(?=\s*\d|\s+\()", "$1" + PERIOD, "."))
+        out.append(sub(rf"\.(?<={_OPEN}(?iu:{any_of(counted)})\.)(?=\s*\d|\s+\()", PERIOD, "."))
     default = named("en").abbreviations
     plain = sorted({w.lower() for w in single(p.abbreviations or default)})
 
