@@ -37,8 +37,8 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Packs the mix into sequences: one row per piece."""
-    return packing.pack(docs)
+    """Packs the mix into sequences: one row per piece. Less memory for each worker, as earlier stages' heap is still there."""
+    return packing.pack(docs, memo=120_000, at_once=2 << 20)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessella.llm.common import bounded_batches
-from tessella.llm.tokens import END_ID, default_tokenizer, encoder
+from tessella.llm.tokens import AT_ONCE, END_ID, MEMO, default_tokenizer, encoder
 
 CAPACITY = 1024
 _PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -82,18 +82,19 @@ class Packer:
             self._sequence(now)
 
 
-def pack(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text", end_id: int = END_ID) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text", end_id: int = END_ID, memo: int = MEMO, at_once: int = AT_ONCE) -> DataFrame:
     """One row per piece of each document's ids (null text: empty, so only the end id).
 
     Null and repeated ids pack like any others; an empty table gives no rows; further columns are not read. A task that
-    runs again gives the same rows, as numbers of sequences start from the number of its partition.
+    runs again gives the same rows, as numbers of sequences start from the number of its partition. ``memo`` and
+    ``at_once`` trade a worker's memory for speed (see ``tokens.Encoder``) and change no row.
     """
     path = tokenizer or default_tokenizer()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        encode = encoder(path)
+        encode = encoder(path, memo, at_once)
         packer = Packer(TaskContext.get().partitionId() * _PER_TASK, capacity)
 
         def flush() -> pa.RecordBatch:

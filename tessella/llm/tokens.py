@@ -41,8 +41,8 @@ def default_tokenizer() -> str:
 
 #: A unit that the pre-tokenizer surely cuts in three: a newline, Latin letters, plain punctuation.
 _SIMPLE = "^(?P<lead>\n?)(?P<core>[A-Za-zÀ-ÖØ-öø-ÿ]*)(?P<tail>[.,;:!?|#$%&*()]*)$"
-#: Bytes of text that are encoded at once, about.
-_AT_ONCE = 4 << 20
+#: Entries of each of the memo's generations, and bytes of text that are encoded at once, about.
+MEMO, AT_ONCE = 250_000, 4 << 20
 
 
 class Encoder:
@@ -57,7 +57,7 @@ class Encoder:
     when they are asked for.
     """
 
-    def __init__(self, path: str, memo: int = 100_000):
+    def __init__(self, path: str, memo: int = MEMO, at_once: int = AT_ONCE):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -65,7 +65,7 @@ class Encoder:
         self.vocab = self._tok.get_vocab_size(with_added_tokens=True)
         self._memo: dict[str, bytes] = {}
         self._old: dict[str, bytes] = {}
-        self._most = memo
+        self._most, self._at_once = memo, at_once
         newline = self._tok.encode("\n", add_special_tokens=False).ids
         self._newline_id, self._newline = newline[0], np.array(newline, "<u4").tobytes()
         self._apart = len(newline) == 1 and self._tok.encode("a\n b\nc", add_special_tokens=False).ids.count(newline[0]) == 2
@@ -173,7 +173,7 @@ class Encoder:
                 sizes = pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False)
                 row = 0
                 for at, n in enumerate(sizes.tolist()):
-                    if size and size + n > _AT_ONCE:
+                    if size and size + n > self._at_once:
                         held.append(batch.slice(row, at - row))
                         yield held
                         held, size, row = [], 0, at
@@ -196,9 +196,9 @@ class Encoder:
 
 
 @lru_cache(maxsize=2)
-def encoder(path: str) -> Encoder:
+def encoder(path: str, memo: int = MEMO, at_once: int = AT_ONCE) -> Encoder:
     """This process's encoder, kept between tasks."""
-    return Encoder(path)
+    return Encoder(path, memo, at_once)
 
 
 # ---------------------------------------------------------------- minimal perfect hash
