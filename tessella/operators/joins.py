@@ -21,9 +21,13 @@ def asof(left: DataFrame, right: DataFrame, on: str, by: list[str], take: list[s
     return both.where("__turn = 1").select(*left.columns, *[F.col("__last")[c].alias(c) for c in take])
 
 
-def in_lexicon(tokens: DataFrame, word: str, lexicon: DataFrame, entry: str, keep: bool = True) -> DataFrame:
-    """Rows whose lower-cased word is (``keep``) or is not an entry: a semi or anti join with a broadcast word list."""
-    words = F.broadcast(lexicon.select(F.col(entry).alias("__entry")).distinct())
+def in_lexicon(tokens: DataFrame, word: str, lexicon: DataFrame, entry: str, keep: bool = True, most: int = 100_000) -> DataFrame:
+    """Rows whose lower-cased word is (``keep``) or is not an entry: a semi or anti join.
+
+    The word list is counted, and broadcast if it has at most ``most`` entries; a larger one joins by a shuffle.
+    """
+    words = lexicon.select(F.col(entry).alias("__entry")).distinct()
+    words = F.broadcast(words) if words.limit(most + 1).count() <= most else words
     return tokens.join(words, F.lower(word) == F.col("__entry"), "left_semi" if keep else "left_anti")
 
 
