@@ -4,8 +4,8 @@ Each source has a budget of words. Its documents fall into size classes (powers
 budget. A class takes documents below a threshold of a hash of the id: sums by hash bucket show the bucket where the
 budget ends, and only that bucket is opened into finer ones, ten bits at a time, until it holds one hash. So nothing is
 sorted, and a source of any size costs a histogram. Documents at the ends of the classes' budgets, one a class, share
-what is left over, the larger ones first, and a second round among the documents that still fit uses up the rest; so a
-source misses its target by a few words, or by less than its smallest document that was not taken.
+what is left over, the larger ones first, and a second round among the documents that still fit uses up most of the rest;
+so what a source misses does not grow with it.
 """
 
 from __future__ import annotations

@@ -56,7 +56,7 @@ def test_mix(spark, seed):
         assert 0 <= r.taken <= 2 * r.size and (r.size == 0 or r.taken % r.size == 0)
         taken[s] += r.taken
     for s in total:
-        assert abs(taken[s] - want[s]) <= 5 + 0.005 * want[s], (s, taken[s], want[s])
+        assert abs(taken[s] - want[s]) <= 0.02 * want[s], (s, taken[s], want[s])  # a few dozen documents a source
     again = {r.doc_id: r.taken for r in mixing.mix(table(spark, data).repartition(5)).collect()}
     assert again == {i: r.taken for i, r in got.items()}
 
