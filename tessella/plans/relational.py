@@ -26,6 +26,12 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _texts(spark: SparkSession, sf_dir: str, name: str, *cols: str) -> DataFrame:
+    """A table's texts, dealt over all cores if its files give fewer tasks than that; large tables are read as they are."""
+    df, n = _table(spark, sf_dir, name).select(*cols), spark.sparkContext.defaultParallelism
+    return df.repartition(n) if df.rdd.getNumPartitions() < n else df
+
+
 def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, lang, source, line_id, start_at, line: the lines of all documents that are not blank."""
     df = lines(_table(spark, sf_dir, "documents").select("doc_id", "lang", "source", "text"), "text")
@@ -220,29 +226,29 @@ def numbered_line_sink(spark, sf_dir):
 
 
 def segment_docs(spark, sf_dir):
-    return sentences(segment(_table(spark, sf_dir, "documents").select("doc_id", "text")), "doc_id")
+    return sentences(segment(_texts(spark, sf_dir, "documents", "doc_id", "text")), "doc_id")
 
 
 def segment_docs_multilang(spark, sf_dir):
-    docs = _table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
+    docs = _texts(spark, sf_dir, "documents", "doc_id", "lang", "text")
     return sentences(by_language(docs, "lang", LANGUAGES), "doc_id", "lang")
 
 
 def segment_spans_docs(spark, sf_dir):
-    return sentences(segment(_table(spark, sf_dir, "documents").select("doc_id", "text"), char_span=True), "doc_id")
+    return sentences(segment(_texts(spark, sf_dir, "documents", "doc_id", "text"), char_span=True), "doc_id")
 
 
 def clean_spans_projected(spark, sf_dir):
-    pages = _table(spark, sf_dir, "pages").select("page_id", "html")
+    pages = _texts(spark, sf_dir, "pages", "page_id", "html")
     return sentences(segment(pages, "html", clean=True, char_span=True), "page_id")
 
 
 def segment_pdf(spark, sf_dir):
-    return sentences(segment(_table(spark, sf_dir, "documents").select("doc_id", "text"), clean=True, doc_type="pdf"), "doc_id")
+    return sentences(segment(_texts(spark, sf_dir, "documents", "doc_id", "text"), clean=True, doc_type="pdf"), "doc_id")
 
 
 def segment_chunked(spark, sf_dir):
-    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = _texts(spark, sf_dir, "documents", "doc_id", "text")
     return sentences(segment_chunks(docs, char_span=True, paragraphs=5), "doc_id", "chunk")
 
 
