@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm import exact, langid, mixing, packing, simhash
+from tessella.llm import exact, langid, mixing, nearcopies, packing
 from tessella.llm.common import crc_mod, table, written
 
 #: A document stays if a language is found with at least this posterior.
@@ -27,8 +27,8 @@ def copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group of near copies."""
-    return simhash.drop_near_copies(docs)
+    """Keeps one document of each group of near copies: word shingles of five words, similarity 0.8 or more."""
+    return nearcopies.drop_near_copies(docs)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

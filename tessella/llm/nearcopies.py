@@ -1,0 +1,152 @@
+"""Near copies by the similarity of their word shingles, for the pipeline: MinHash bands find candidates, sets decide.
+
+Two texts are near copies if the Jaccard similarity of their sets of five-word shingles is 0.8 or more. At that similarity
+64 bits of SimHash differ in about 10 bits, too many for any index of halves; so each set has ``BANDS`` keys, each over
+``ROWS`` minima. A pair of similarity s has no key in common with probability (1 - s^5)^28: 0.000015 at 0.8, less above.
+Every candidate is decided by the sets themselves, so nothing below 0.8 is linked.
+
+Equal sets are one node from the start. Sets that share a key are first compared with one of them, the centre; then only
+pairs of sets whose components still differ are. That gives the components of all candidate pairs, and a large group of
+copies costs its size, not its square.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from tessella.llm.common import bounded_batches, if_small, release_memory, written
+from tessella.llm.components import components
+
+WORDS = 5
+#: Similarity of near copies, as a fraction.
+LEAST = (4, 5)
+BANDS, ROWS = 28, 5
+SEED = 42
+_SLICE = 2_048
+_STARS = 2
+_RANDOM = np.random.default_rng(SEED)
+_TIMES = _RANDOM.integers(0, 2**63, (BANDS * ROWS, 1), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_PLUS = _RANDOM.integers(0, 2**64, (BANDS * ROWS, 1), dtype=np.uint64)
+
+
+def shingles(text: str | None, words: int = WORDS) -> np.ndarray:
+    """The set of a text's word shingles as sorted hashes; a shorter text is one shingle, a text without words has none."""
+    import xxhash
+
+    found = (text or "").encode("utf-8", "surrogatepass").lower().split()  # on bytes: A-Z only, ASCII white space only
+    if not found:
+        return np.zeros(0, np.uint64)
+    one = xxhash.xxh64_intdigest
+    parts = zip(*(found[i:] for i in range(words))) if len(found) > words else [found]
+    return np.unique(np.array([one(b" ".join(s), SEED) for s in parts], np.uint64))
+
+
+def band_keys(hashes: np.ndarray) -> np.ndarray:
+    """``BANDS`` keys of a set that is not empty; equal minima give equal keys, and no band shares keys with another."""
+    import xxhash
+
+    least = np.full(BANDS * ROWS, 2**64 - 1, np.uint64)
+    for at in range(0, len(hashes), _SLICE):
+        np.minimum(least, (hashes[at : at + _SLICE] * _TIMES + _PLUS).min(axis=1), out=least)
+    return np.array([xxhash.xxh64_intdigest(b.tobytes(), i) for i, b in enumerate(least.reshape(BANDS, ROWS))], np.uint64)
+
+
+def _sketches(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``doc_id, fp, keys, hashes`` of every row: ``fp`` stands for the set (0: empty, without keys)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import xxhash
+
+        for batch in batches:
+            sets = [shingles(t.as_py()) for t in batch.column(1)]
+            prints = pa.array(np.array([xxhash.xxh64_intdigest(s.tobytes(), SEED) if len(s) else 0 for s in sets], np.uint64).view(np.int64), pa.int64())
+            longs = pa.list_(pa.int64())
+            keys = pa.array([band_keys(s).view(np.int64) if len(s) else [] for s in sets], longs)
+            yield pa.RecordBatch.from_arrays([batch.column(0), prints, keys, pa.array([s.view(np.int64) for s in sets], longs)], ["doc_id", "fp", "keys", "hashes"])
+        release_memory()
+
+    texts = bounded_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("__text"))
+    return texts.mapInArrow(run, "doc_id long, fp long, keys array<long>, hashes array<long>")
+
+
+def _alike(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Those of the pairs ``a, b`` whose sets are similar enough."""
+    up, down = LEAST
+    n, m = F.size("x"), F.size("y")
+    one = sets.select(F.col("fp").alias("a"), F.col("hashes").alias("x"))
+    other = sets.select(F.col("fp").alias("b"), F.col("hashes").alias("y"))
+    both = pairs.join(one, "a").join(other, "b").where(F.least(n, m) * down >= F.greatest(n, m) * up)
+    # shared / (n + m - shared) >= up / down
+    return both.where(F.size(F.array_intersect("x", "y")) * (up + down) >= (n + m) * up).select("a", "b")
+
+
+def _named(members: DataFrame, links: DataFrame | None) -> DataFrame:
+    """``key, fp, root`` of the members of keys that hold more than one component; keys are recoded, see ``components``."""
+    if links is None:
+        rooted = members.withColumn("root", F.col("fp"))
+    else:
+        roots = written(components(links, "a", "b"), "near-roots")
+        rooted = members.join(if_small(roots), F.col("fp") == F.col("node"), "left").select("key", "fp", F.coalesce("root", "fp").alias("root"))
+    rooted = written(rooted, "near-rooted")
+    mixed = rooted.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo != hi")
+    mixed = written(mixed.select(F.col("key").bitwiseXOR(F.lit(1)).alias("__k")), "near-mixed")
+    return written(rooted.withColumn("__k", F.col("key").bitwiseXOR(F.lit(1))).join(if_small(mixed), "__k", "left_semi").drop("__k"), "near-members")
+
+
+def _pair(p: str, q: str) -> list:
+    return [F.least(p, q).alias("a"), F.greatest(p, q).alias("b")]
+
+
+def _stars(members: DataFrame, turn: int) -> DataFrame:
+    """Pairs of each key's centre with the members of other components."""
+    centre = F.min(F.struct(F.xxhash64(F.lit(turn), "fp").alias("h"), F.col("fp").alias("c"), F.col("root").alias("r")))
+    hubs = written(members.groupBy("key").agg(centre.alias("x")).select(F.col("key").bitwiseXOR(F.lit(1)).alias("__k"), "x.c", "x.r"), "near-hubs")
+    met = members.withColumn("__k", F.col("key").bitwiseXOR(F.lit(1))).join(if_small(hubs), "__k").where("root != r")
+    return met.select(*_pair("fp", "c")).distinct()
+
+
+def _crossed(members: DataFrame) -> DataFrame:
+    """Pairs of members of a key whose components differ."""
+    one, other = members.alias("w"), members.alias("s")
+    met = one.join(other, (F.col("w.key") == F.col("s.key")) & (F.col("w.root") < F.col("s.root")))
+    return met.select(*_pair("w.fp", "s.fp")).distinct()
+
+
+def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per input row: doc_id, fp, component_id (smallest id reachable, itself included).
+
+    Texts without words (null ones too) are copies of each other. A null id gets a row but is never a component's smallest
+    id unless all are null. An empty table gives no rows. Only the two named columns are read.
+    """
+    sketches = written(_sketches(docs, id_col, text_col), "near-sketches")
+    keys = sketches.groupBy("fp").agg(F.first("keys").alias("keys")).select("fp", F.explode("keys").alias("key"))
+    members = _named(written(keys, "near-keys"), None)
+    nodes = written(members.select("fp").distinct(), "near-nodes")
+    sets = written(sketches.select("fp", "hashes").join(if_small(nodes), "fp", "left_semi").groupBy("fp").agg(F.first("hashes").alias("hashes")), "near-sets")
+    found = None
+    for turn in range(_STARS + 1):
+        pairs = _stars(members, turn) if turn < _STARS else _crossed(members)
+        some = written(_alike(pairs, sets), "near-links")
+        found = some if found is None else found.unionByName(some)
+        if turn < _STARS:
+            members = _named(members.select("key", "fp"), found)
+    roots = components(found, "a", "b")
+    fps = written(sketches.groupBy("fp").agg(F.min("doc_id").alias("least")), "near-least")
+    tied = written(fps.join(roots, fps["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root")), "near-tied")
+    least = tied.groupBy("root").agg(F.min("least").alias("component_id"))
+    named = tied.join(least.withColumnRenamed("root", "__root"), F.col("root") == F.col("__root")).select("fp", "component_id")
+    return sketches.select("doc_id", "fp").join(named, "fp").select("doc_id", "fp", "component_id")
+
+
+def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` without those that another document of their component stands for: its smallest id stays.
+
+    Rows with a null id stay, as no other can be told from them; of repeated ids all rows stay or go.
+    """
+    gone = written(near_groups(docs, id_col, text_col).where("doc_id != component_id").select(F.col("doc_id").alias("__gone")).distinct(), "near-gone")
+    return docs.join(if_small(gone), docs[id_col].cast("long") == F.col("__gone"), "left_anti")

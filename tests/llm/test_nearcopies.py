@@ -1,0 +1,56 @@
+"""The pipeline's near copies against all pairs of plain shingle sets."""
+
+import random
+
+import corpus_pipeline as cp
+from tessella.llm import nearcopies
+from test_dedup import brute_components
+
+
+def plain(text):
+    w = (text or "").lower().split()
+    return {" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+
+def alike(a, b):
+    return a == b or 10 * len(a & b) >= 8 * len(a | b)
+
+
+def planted():
+    """Groups of texts with some words replaced: similarities on both sides of 0.8, chains, a large group, odd rows."""
+    rng, texts = random.Random(7), {}
+    for group in range(40):
+        base = [f"w{rng.randrange(3_000)}" for _ in range(rng.randrange(60, 500))]
+        for copy in range(40 if group == 0 else 4):
+            words = list(base)
+            for _ in range(0 if not copy else max(1, int(len(base) * rng.choice((0.005, 0.01, 0.02, 0.03, 0.05))))):
+                words[rng.randrange(len(words))] = f"n{rng.randrange(10**6)}"
+            texts[len(texts)] = " ".join(words)
+    return texts | {1_000: None, 1_001: " ", 1_002: "A b", 1_003: "a B\n", 1_004: "a b c", 1_005: texts[9].upper()}
+
+
+def test_stage_drops_copies_of_similarity_0_8(spark):
+    texts = planted()
+    sets = {k: plain(t) for k, t in texts.items()}
+    want = brute_components(sorted(sets), lambda a, b: alike(sets[a], sets[b]))
+    docs = spark.createDataFrame([(k, t, "en", "s", 0) for k, t in texts.items()], "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    got = {r.doc_id: r.component_id for r in nearcopies.near_groups(docs).collect()}
+    assert got == want
+    assert sorted(r.doc_id for r in cp.near_copies(spark, docs, "").collect()) == sorted(set(want.values()))
+
+
+def test_edge_of_similarity(spark):
+    base = [f"w{i}" for i in range(94)]  # 90 shingles; one more word changes none of them
+    docs = {0: base, 1: base + [f"x{i}" for i in range(22)], 2: base + [f"y{i}" for i in range(23)], 3: [*base[:50], "z", *base[51:]]}
+    sets = {k: plain(" ".join(w)) for k, w in docs.items()}
+    want = brute_components(sorted(sets), lambda a, b: alike(sets[a], sets[b]))
+    rows = spark.createDataFrame([(k, " ".join(w)) for k, w in docs.items()], "doc_id long, text string")
+    assert {r.doc_id: r.component_id for r in nearcopies.near_groups(rows).collect()} == want == {0: 0, 1: 0, 2: 2, 3: 0}
+
+
+def test_empty_null_and_repeated_ids(spark):
+    rows = spark.createDataFrame([(3, "a b c"), (None, "a b c"), (3, "a b c"), (None, "zz")], "doc_id long, text string")
+    got = nearcopies.near_groups(rows).collect()
+    assert sorted((r.doc_id or 0, r.component_id or 0) for r in got) == [(0, 0), (0, 3), (3, 3), (3, 3)]
+    assert nearcopies.drop_near_copies(rows).count() == 4
+    assert nearcopies.near_groups(rows.where("false")).count() == 0
