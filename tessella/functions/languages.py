@@ -1,7 +1,6 @@
 """Language profiles: word lists from data files, and the patterns that differ between languages.
 
-Patterns are in Java's dialect. Word lists of over two hundred entries are shipped in part; ``Profile.load`` reads a full
-one from a file of the same shape.
+Patterns are in Java's dialect. ``Profile.load`` reads other word lists from a file of the same shape.
 """
 
 from __future__ import annotations
