@@ -19,8 +19,6 @@ from tessella.operators.splitting import _trim, lines
 from tessella.sources.files import numbered_lines
 from tessella.streaming.sentences import read_documents, stream_sentences, write_available
 
-LANGUAGES = ["en", "de", "es", "fr"]
-
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -229,9 +227,15 @@ def segment_docs(spark, sf_dir):
     return sentences(segment(_texts(spark, sf_dir, "documents", "doc_id", "text")), "doc_id")
 
 
+def _languages(spark: SparkSession, sf_dir: str) -> list[str]:
+    """The codes with a profile that the documents hold."""
+    held = _table(spark, sf_dir, "documents").select("lang").where(F.col("lang").isin(list(CODES))).distinct()
+    return sorted(r.lang for r in held.collect())
+
+
 def segment_docs_multilang(spark, sf_dir):
     docs = _texts(spark, sf_dir, "documents", "doc_id", "lang", "text")
-    return sentences(by_language(docs, "lang", LANGUAGES), "doc_id", "lang")
+    return sentences(by_language(docs, "lang", _languages(spark, sf_dir)), "doc_id", "lang")
 
 
 def segment_spans_docs(spark, sf_dir):
