@@ -36,7 +36,9 @@ def test_search_edges(spark):
     bad = [(100, None), (200, [0.0, 0.0]), (300, [nan, 1.0]), (400, [inf, 1.0]), (500, [1.0, 2.0, 3.0]), (None, [1.0, 1.0]), (600, []), (700, [None, 1.0])]
     x = np.array([[1, 1]] * 6 + [[2, 2]] * 3)
     got = ann.search(vectors(spark, x, [*bad, (0, [1.0, 1.0])]), F.col("id") % 100 == 0).orderBy("query_id", "rank").collect()
-    assert [(r.query_id, r.vec_id) for r in got] == [(0, i) for i in range(1, 9)]
+    # the id 0 stands in two equal rows: each asks, and each finds the other
+    assert sorted((r.query_id, r.vec_id) for r in got) == sorted([(0, i) for i in range(9)] * 2)
+    assert [r.vec_id for r in got if r.rank <= 6] == [0, 0, 1, 1, 2, 2, 3, 3, 4, 4, 5, 5] and got[-1].rank == 9
     none = ann.search(vectors(spark, x).where("false"), F.lit(True))
     assert none.columns == ["query_id", "rank", "vec_id", "score"] and none.count() == 0
 
@@ -48,7 +50,22 @@ def test_footrule_is_the_plain_sum():
     query = rng.permutation(pivots)[:k]
     place = lambda o, p: o.tolist().index(p) if p in o.tolist() else k
     want = [sum(abs(place(o, p) - place(query, p)) for p in range(pivots)) for o in order]
-    assert ann.Posting(order, pivots).footrule(query).tolist() == want
+    lists = ann.post(order, pivots)
+    assert ann.footrule(lists, 40, query, k).tolist() == want
+    # a query that visits two lists ranks by those alone
+    part = [k * (k + 1) + sum(abs(place(o, p) - i) - (k - place(o, p)) - (k - i) for i, p in enumerate(query[:2]) if p in o) for o in order]
+    assert ann.footrule(lists, 40, query[:2], k).tolist() == part
+
+
+def test_search_does_not_depend_on_the_layout(spark):
+    x = np.random.default_rng(3).normal(size=(2_500, 16)).astype(np.float32).astype(float)
+    x[700:900] = x[0]  # equal vectors
+    df = vectors(spark, x, [(7, x[9].tolist()), (7, x[9].tolist()), (100, [1.0, 2.0]), (200, [1.0, 2.5])])
+    answers = [sorted(map(tuple, ann.search(df.repartition(n), F.col("id") % 100 == 0, pivots=64, prefix=16, visits=8, rerank=0.02, least=40).collect())) for n in (1, 17)]
+    assert answers[0] == answers[1]
+    assert {(q, v) for q, _, v, s in answers[0] if s == 0.5} == {(100, 200), (200, 100)}  # another dimension, another index
+    mine = [(q, v) for q, _, v, _ in answers[0] if q == v]
+    assert not mine
 
 
 URLS = {
