@@ -7,9 +7,10 @@ Shard file::
     index  numpy arrays (see ``_index``), one after another
     tail   int64 x 2: where the index starts, bytes of one id; magic
 
-A key's place is found in constant time: its hash walks the levels of the minimal perfect hash (a key that met no other
-in a level's bit field has its slot there, as the rank of its bit), the slot's stored fingerprint tells strangers from
-members, and the slot names the document's first row and number of rows. Rows keep offsets into the payload.
+A key's place is found in constant time: the manifest's key ranges name its shard; there its hash walks the levels of the
+minimal perfect hash (a key that met no other in a level's bit field has its slot there, as the rank of its bit), the slot's
+stored fingerprint tells most strangers from members and its stored key the rest, and the slot names the document's first
+row and number of rows. Rows keep offsets into the payload.
 """
 
 from __future__ import annotations
@@ -17,13 +18,14 @@ from __future__ import annotations
 import io
 import os
 import zlib
-from collections.abc import Iterator
+from bisect import bisect_right
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessella.llm.common import bounded_batches, new_path, release_memory, written
@@ -164,8 +166,9 @@ class Encoder:
         flat = np.frombuffer(b"".join(table), "<u4")[pick]
         return flat, np.concatenate([[0], upto])[3 * at]
 
-    def documents(self, batches: Iterator[pa.RecordBatch], end_id: int) -> Iterator[tuple[int | None, np.ndarray]]:
-        """Keys and ids of batches of (key, text), the end id appended to each; encoded in slices of bounded size."""
+    def blocks(self, batches: Iterator[pa.RecordBatch], end_id: int) -> Iterator[tuple[pa.Table, np.ndarray, np.ndarray]]:
+        """Batches of (key, text, ..) in slices of bounded size: the rows, all their ids one after another (the end id after
+        each text's), and each text's place among them."""
 
         def slices() -> Iterator[list[pa.RecordBatch]]:
             held, size = [], 0
@@ -186,10 +189,18 @@ class Encoder:
             if held is None:
                 continue
             flat, place = self.batch(held.column(1).combine_chunks())
+            n = held.num_rows
+            ended = np.full(len(flat) + n, end_id, "<u4")
+            ended[np.arange(len(flat)) + np.repeat(np.arange(n), np.diff(place))] = flat
+            yield held, ended, place + np.arange(n + 1)
+        release_memory()
+
+    def documents(self, batches: Iterator[pa.RecordBatch], end_id: int) -> Iterator[tuple[int | None, np.ndarray]]:
+        """Keys and ids of batches of (key, text), the end id appended to each; encoded in slices of bounded size."""
+        for held, flat, place in self.blocks(batches, end_id):
             place = place.tolist()
             for key, a, b in zip(held.column(0).to_pylist(), place, place[1:]):
-                yield key, np.append(flat[a:b], np.uint32(end_id))
-        release_memory()
+                yield key, flat[a:b]
 
     def __call__(self, text: str | None) -> bytes:
         return self.batch(pa.array([text], pa.string()))[0].tobytes()
@@ -258,11 +269,11 @@ def _index(keys: np.ndarray, nulls: int, offsets: np.ndarray) -> list[np.ndarray
     distinct, first, rows = np.unique(keys, return_index=True, return_counts=True)
     mph = PerfectHash.build(distinct)
     slot = mph.slots(distinct)
-    prints, row, many = (np.zeros(len(distinct), t) for t in (np.uint32, np.int64, np.int64))
-    prints[slot], row[slot], many[slot] = fingerprints(distinct), first + nulls, rows
+    own, prints, row, many = (np.zeros(len(distinct), t) for t in (np.int64, np.uint32, np.int64, np.int64))
+    own[slot], prints[slot], row[slot], many[slot] = distinct, fingerprints(distinct), first + nulls, rows
     bits = [np.packbits(f) for f in mph.fields]
     sizes = np.array([len(f) for f in mph.fields], np.int64)
-    return [np.array([nulls], np.int64), distinct, prints, row, many, offsets.astype(np.int64), sizes, *bits]
+    return [np.array([nulls], np.int64), own, prints, row, many, offsets.astype(np.int64), sizes, *bits]
 
 
 class Shard:
@@ -289,6 +300,7 @@ class Shard:
         slot = self._mph.slots(keys)
         known = slot >= 0
         known[known] = self._prints[slot[known]] == fingerprints(keys[known])
+        known[known] = self.keys[slot[known]] == keys[known]  # a stranger may share a fingerprint
         slot = np.where(known, slot, 0)
         if not len(self._row):
             return np.zeros(len(keys), np.int64), np.zeros(len(keys), np.int64)
@@ -303,18 +315,60 @@ class Shard:
 
 # ---------------------------------------------------------------- jobs
 
-_MANIFEST = "shard int, path string, n_rows long, n_tokens long"
+_MANIFEST = "shard int, path string, n_rows long, n_tokens long, nulls long, first long, last long"
 _ROWS = "doc_id long, start long, n_tokens long, ids_crc32 long"
+#: Bytes of text of a shard, as an aim: small tables make smaller shards, at least one a core, down to the lesser size.
+SHARD_BYTES, LEAST_BYTES = 256 << 20, 4 << 20
+#: Rows of a shard, about, that the sample of its key ranges holds.
+_SAMPLE = 32
+_HEAD = 64
+_LOW = -(2**63)
+
+
+def _bounds(rows: DataFrame, n: int, many: int) -> list[tuple[int, str, int]]:
+    """Where shards 1 to n - 1 begin, as (id, first characters of the text, salt), from about ``_SAMPLE`` rows a shard."""
+    if n < 2:
+        return []
+    steps = 1 << 30
+    some = rows.where(F.pmod("__salt", F.lit(steps)) < int(steps * min(1.0, n * _SAMPLE / many))).select("__id", "__head", "__salt").toArrow()
+    found = sorted(zip((_LOW if x is None else x for x in some.column(0).to_pylist()), (x or "" for x in some.column(1).to_pylist()), some.column(2).to_pylist()))
+    return [found[len(found) * i // n] for i in range(1, n)] if found else []
+
+
+def _shard_of(bounds: list[tuple[int, str, int]], ids: np.ndarray, rest: Callable[[int], tuple[str, int]]) -> np.ndarray:
+    """Each row's shard. Only rows with a bound's own id need the rest of their key."""
+    starts = np.array([b[0] for b in bounds], np.int64)
+    low, high = np.searchsorted(starts, ids, "left"), np.searchsorted(starts, ids, "right")
+    out = low.astype(np.int32)
+    for i in np.flatnonzero(high > low).tolist():
+        out[i] = bisect_right(bounds, (int(ids[i]), *rest(i)), int(low[i]), int(high[i]))
+    return out
 
 
 def write_shards(docs: DataFrame, folder: str, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None, end_id: int = END_ID) -> DataFrame:
     """Writes the ids of all texts as shards in ascending order of ``id_col`` (nulls first); returns the manifest.
 
+    Texts are encoded where they are read; only ids are shuffled, to shards whose key ranges come from a sample of the rows.
     One task writes one shard, under a name of its own attempt: a lost task's retry never meets its remains, and the
     manifest (a written table) names only files of tasks that ended. Null texts are empty: just the end id. Rows with
-    equal ids stand together, in order of their texts. An empty table makes no shard.
+    equal ids stand together, in order of the first characters of their texts; many of them are dealt over several shards.
+    An empty table makes no shard. A null id counts as the smallest long.
     """
     path = tokenizer or default_tokenizer()
+    width = 2 if encoder(path).vocab <= 1 << 16 else 4
+    text = F.col(text_col).cast("string")
+    rows = bounded_batches(docs).select(F.col(id_col).cast("long").alias("__id"), text.alias("__text"), F.xxhash64(F.monotonically_increasing_id()).alias("__salt"), F.substring(text, 1, _HEAD).alias("__head"))
+    many, size = rows.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("__text")), F.lit(0))).first()
+    n = max(1, min(docs.sparkSession.sparkContext.defaultParallelism, -(-size // LEAST_BYTES)), -(-size // SHARD_BYTES))
+    bounds = _bounds(rows, n, max(1, many))
+
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for held, flat, place in encoder(path).blocks(batches, end_id):
+            keys, heads, salts = held.column(0).combine_chunks(), held.column(3).combine_chunks(), held.column(2)
+            ids = pc.fill_null(keys, _LOW).to_numpy(zero_copy_only=False)
+            shard = _shard_of(bounds, ids, lambda i: (heads[i].as_py() or "", salts[i].as_py()))  # noqa: B023
+            payload = pa.Array.from_buffers(pa.large_binary(), len(ids), [None, pa.py_buffer((place * width).astype(np.int64)), pa.py_buffer(flat.astype(f"<u{width}"))])
+            yield pa.RecordBatch.from_arrays([pa.array(shard), keys, heads, payload.cast(pa.binary())], ["shard", "id", "head", "ids"])
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import uuid
@@ -322,79 +376,120 @@ def write_shards(docs: DataFrame, folder: str, id_col: str = "doc_id", text_col:
         from pyarrow import fs
         from pyspark import TaskContext
 
-        encode = encoder(path)
-        width = 2 if encode.vocab <= 1 << 16 else 4
-        out, keys, lengths, nulls, name = None, [], [], 0, ""
-        for key, ids in encode.documents(batches, end_id):
+        out, keys, lengths, name = None, [], [], ""
+        for batch in batches:
+            if not batch.num_rows:
+                continue
             if out is None:
                 store, base = fs.FileSystem.from_uri(folder)
                 store.create_dir(base, recursive=True)
                 name = f"ids-{TaskContext.get().partitionId():06d}-{uuid.uuid4().hex}.tok"
                 out = store.open_output_stream(f"{base}/{name}", buffer_size=1 << 20)
                 out.write(MAGIC)
-            if key is None:
-                nulls += 1
-            else:
-                keys.append(key)
-            lengths.append(len(ids))
-            out.write(ids.astype(f"<u{width}").tobytes())
+            keys.append(batch.column(0))
+            lengths.append(pc.binary_length(batch.column(1)).to_numpy().astype(np.int64) // width)
+            out.write(b"".join(batch.column(1).to_pylist()))
         if out is None:
             return
-        offsets = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int64)
+        all_keys = pa.chunked_array(keys).combine_chunks()
+        nulls, ids = all_keys.null_count, all_keys.drop_null().to_numpy()
+        offsets = np.concatenate([[0], np.cumsum(np.concatenate(lengths))]).astype(np.int64)
         buf = io.BytesIO()
-        for part in _index(np.asarray(keys, np.int64), nulls, offsets):
+        for part in _index(ids, nulls, offsets):
             np.save(buf, part)
         out.write(buf.getvalue())
         out.write(np.array([len(MAGIC) + int(offsets[-1]) * width, width], "<i8").tobytes() + MAGIC)
         out.close()
-        yield pa.RecordBatch.from_pydict({"shard": pa.array([TaskContext.get().partitionId()], pa.int32()), "path": [f"{folder}/{name}"], "n_rows": [len(lengths)], "n_tokens": [int(offsets[-1])]})
+        ends = [int(ids[0]), int(ids[-1])] if len(ids) else [None, None]
+        row = [TaskContext.get().partitionId(), f"{folder}/{name}", len(all_keys), int(offsets[-1]), nulls, *ends]
+        kinds = [pa.int32(), pa.string(), *[pa.int64()] * 5]
+        yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, kinds)], [x.split()[0] for x in _MANIFEST.split(", ")])
 
-    rows = bounded_batches(docs).select(F.col(id_col).cast("long").alias("__id"), F.col(text_col).cast("string").alias("__text"))
-    return written(rows.repartitionByRange("__id").sortWithinPartitions("__id", "__text").mapInArrow(write, _MANIFEST), "manifest")
+    coded = rows.select("__id", "__text", "__salt", "__head").mapInArrow(encode, "shard int, id long, head string, ids binary")
+    dealt = coded.repartitionById(n, "shard").sortWithinPartitions("id", "head", "ids").select("id", "ids")
+    return written(dealt.mapInArrow(write, _MANIFEST), "manifest")
 
 
-def read_documents(manifest: DataFrame) -> DataFrame:
-    """One row per written document, read back from the shards by key: doc_id, start, n_tokens, ids_crc32."""
+def read_documents(manifest: DataFrame, keys: DataFrame) -> DataFrame:
+    """The documents of the keys (column ``doc_id``; each key once, null too), read from the shards: doc_id, start,
+    n_tokens, ids_crc32. A key without documents has no row, one that repeats has a row for each.
 
-    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyarrow import fs
+    The manifest has one row per shard; its key ranges are the directory that sends each key to its shards.
+    """
+    shards = manifest.orderBy("shard").toArrow().to_pydict()
+    if not shards["path"]:
+        return manifest.sparkSession.createDataFrame([], _ROWS)
+    base = np.cumsum([0, *shards["n_tokens"]]).tolist()
+    ranged = [i for i, x in enumerate(shards["first"]) if x is not None]
+    first, last = (np.array([shards[c][i] for i in ranged], np.int64) for c in ("first", "last"))
+    with_nulls = [i for i, x in enumerate(shards["nulls"]) if x]
+
+    def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = batch.column(0).drop_null().to_numpy()
+            low, high = np.searchsorted(last, ids, "left"), np.searchsorted(first, ids, "right")
+            many = np.maximum(high - low, 0)  # none, if the key falls between two shards
+            at = np.repeat(low - (np.cumsum(many) - many), many) + np.arange(int(many.sum()))
+            yield pa.RecordBatch.from_arrays([pa.array(np.array(ranged, np.int32)[at]), pa.array(np.repeat(ids, many))], ["shard", "doc_id"])
+            if batch.column(0).null_count:
+                yield pa.RecordBatch.from_arrays([pa.array(with_nulls, pa.int32()), pa.nulls(len(with_nulls), pa.int64())], ["shard", "doc_id"])
 
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = None, []
         for batch in batches:
-            for path, base in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                store, file = fs.FileSystem.from_uri(path)
-                with store.open_input_file(file) as f:
-                    shard = Shard(f)
-                    first, many = shard.find(shard.keys)
-                    owner = np.full(len(shard.offsets) - 1, -1, np.int64)
-                    for extra in range(int(many.max(initial=0))):
-                        has = many > extra
-                        owner[first[has] + extra] = np.flatnonzero(has)
-                    if (owner[shard.nulls :] < 0).any() or len(owner) != shard.nulls + int(many.sum()):
-                        raise ValueError(f"the index of {path} misses documents")
-                    row = 0
-                    while row < len(owner):
-                        until = max(row + 1, int(np.searchsorted(shard.offsets, shard.offsets[row] + _READ_BLOCK // 4, "right")) - 1)
-                        ids, at = shard.ids(row, until), shard.offsets[row : until + 1]
-                        wide = ids.astype("<u4")
-                        cut = at - at[0]
-                        crc = [zlib.crc32(wide[a:b].tobytes()) for a, b in zip(cut[:-1], cut[1:])]
-                        mine = owner[row:until]
-                        doc = pa.array(shard.keys[np.maximum(mine, 0)] if len(shard.keys) else np.zeros(len(mine), np.int64), pa.int64(), mask=mine < 0)
-                        yield pa.RecordBatch.from_arrays([doc, pa.array(at[:-1] + base, pa.int64()), pa.array(np.diff(at), pa.int64()), pa.array(crc, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
-                        row = until
-
-    # one row per shard: the window holds the list of files, not documents
-    before = F.coalesce(F.sum("n_tokens").over(Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    placed = manifest.select("path", before.cast("long").alias("base"))
-    n = manifest.sparkSession.sparkContext.defaultParallelism
-    return placed.repartition(max(n, int(manifest.sparkSession.conf.get("spark.sql.shuffle.partitions"))), "path").mapInArrow(read, _ROWS)
-
-
-def token_index(docs: DataFrame, tokenizer: str | None = None, folder: str | None = None) -> DataFrame:
-    """Writes all documents' ids (null text: empty; end id appended) and reads them back by key, in ``doc_id`` order.
+            column = batch.column(0).to_numpy()
+            cuts = [0, *(np.flatnonzero(np.diff(column)) + 1).tolist(), len(column)]
+            for a, b in zip(cuts, cuts[1:]):
+                if b > a:
+                    if held and column[a] != now:
+                        yield from _rows_of(shards["path"][now], base[now], pa.chunked_array(held))
+                        held = []
+                    now = int(column[a])
+                    held.append(batch.column(1).slice(a, b - a))
+        if held:
+            yield from _rows_of(shards["path"][now], base[now], pa.chunked_array(held))
+
+    spark = manifest.sparkSession
+    n = min(len(shards["path"]), max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    routed = keys.select("doc_id").mapInArrow(route, "shard int, doc_id long")
+    return routed.repartitionById(n, F.col("shard") % n).sortWithinPartitions("shard", "doc_id").mapInArrow(read, _ROWS)
+
+
+def _rows_of(path: str, base: int, keys: pa.ChunkedArray) -> Iterator[pa.RecordBatch]:
+    """Documents of keys that one shard may hold; neighbours are read in one go, up to a bound."""
+    from pyarrow import fs
+
+    store, file = fs.FileSystem.from_uri(path)
+    with store.open_input_file(file) as f:
+        shard = Shard(f)
+        ids = keys.drop_null().to_numpy()
+        first, many = shard.find(ids)
+        rows = np.repeat(first - (np.cumsum(many) - many), many) + np.arange(int(many.sum()))
+        owner, known = np.repeat(ids, many), np.ones(len(rows), bool)
+        if keys.null_count:
+            rows = np.concatenate([rows, np.arange(shard.nulls)])
+            owner, known = np.concatenate([owner, np.zeros(shard.nulls, np.int64)]), np.concatenate([known, np.zeros(shard.nulls, bool)])
+        by = np.argsort(rows)
+        rows, owner, known = rows[by], owner[by], known[by]
+        runs = [0, *(np.flatnonzero(np.diff(rows) != 1) + 1).tolist(), len(rows)]
+        for a, end in zip(runs, runs[1:]):
+            while a < end:
+                here = int(rows[a])
+                until = max(here + 1, int(np.searchsorted(shard.offsets, shard.offsets[here] + _READ_BLOCK // 4, "right")) - 1)
+                b = min(end, a + until - here)
+                at = shard.offsets[here : here + b - a + 1]
+                wide, cut = shard.ids(here, here + b - a).astype("<u4"), at - at[0]
+                crc = [zlib.crc32(wide[i:j].tobytes()) for i, j in zip(cut[:-1], cut[1:])]
+                yield pa.RecordBatch.from_arrays([pa.array(owner[a:b], pa.int64(), mask=~known[a:b]), pa.array(at[:-1] + base, pa.int64()), pa.array(np.diff(at), pa.int64()), pa.array(crc, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
+                a = b
+
+
+def token_index(docs: DataFrame, tokenizer: str | None = None, folder: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Writes all documents' ids (null text: empty; end id appended) in ``doc_id`` order, and looks each document up by key.
 
     Null ids come first and are read by place; rows that repeat an id share one slot of the index. An empty table gives
-    no rows. Only the id and text columns are read, so further columns cannot clash.
+    no rows. Only the id and text columns are read, so further columns cannot clash. Very long texts are one row each.
     """
     folder = folder or new_path(docs.sparkSession, "token-ids")
-    return read_documents(write_shards(docs, folder, tokenizer=tokenizer))
+    manifest = write_shards(docs, folder, id_col, text_col, tokenizer)
+    return read_documents(manifest, docs.select(F.col(id_col).cast("long").alias("doc_id")).distinct())

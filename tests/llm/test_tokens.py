@@ -61,6 +61,43 @@ def test_token_index(spark, library):
         at += len(ids)
 
 
+def test_lookup_by_key(spark, library, tmp_path, monkeypatch):
+    monkeypatch.setattr(tokens, "LEAST_BYTES", 1)
+    rows = [(i % 40, f"text {i}") for i in range(400)] + [(7, "hot")] * 900 + [(None, f"n {i}") for i in range(300)]
+    manifest = tokens.write_shards(table(spark, rows), f"file://{tmp_path}/shards")
+    listed = manifest.orderBy("shard").collect()
+    assert len(listed) > 2 and max(r.n_rows for r in listed) < 900  # a repeated id is dealt over shards
+    assert sum(r.first is not None and r.first <= 7 <= r.last for r in listed) > 1
+    wanted = spark.createDataFrame([(k,) for k in (0, 7, 39, 40, -5, None)], "doc_id long")
+    got = tokens.read_documents(manifest, wanted).collect()
+    texts = [t for k, t in rows if k in (0, 7, 39, None)]
+    crc = lambda t: zlib.crc32(plain(library, t).tobytes())
+    assert sorted((repr(r.doc_id), r.ids_crc32) for r in got) == sorted((repr(k), crc(t)) for k, t in rows if k in (0, 7, 39, None))
+    assert len({r.start for r in got}) == len(texts)
+    assert {r.doc_id for r in got} == {0, 7, 39, None}
+
+
+def test_strangers_are_not_found(spark, tmp_path):
+    """Keys that get a member's slot and fingerprint are told apart by the key."""
+    path = tmp_path / "one.tok"
+    keys = np.arange(0, 3_000, 3)
+    prints = tokens.fingerprints
+    try:
+        tokens.fingerprints = lambda k: np.zeros(len(k), np.uint32)
+        index = tokens._index(keys, 0, np.arange(len(keys) + 1))
+        with open(path, "wb") as f:
+            f.write(tokens.MAGIC + np.arange(len(keys), dtype="<u2").tobytes())
+            at = f.tell()
+            for part in index:
+                np.save(f, part)
+            f.write(np.array([at, 2], "<i8").tobytes() + tokens.MAGIC)
+        with open(path, "rb") as f:
+            first, many = tokens.Shard(f).find(np.arange(3_000))
+    finally:
+        tokens.fingerprints = prints
+    assert np.flatnonzero(many).tolist() == keys.tolist() and first[many > 0].tolist() == list(range(1_000))
+
+
 def test_token_index_empty(spark):
     assert tokens.token_index(table(spark).where("false")).count() == 0
 
