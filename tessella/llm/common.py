@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,8 +17,15 @@ WORD = r"[^\x20\x09-\x0D]+"
 BLANKS = " \t\n\x0b\f\r"
 
 
+_FOLDER: ContextVar[str | None] = ContextVar("folder of intermediate tables", default=None)
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder: ``spark.checkpoint.dir``, or a temporary one if that is unset (tests)."""
+    """The cluster's shared folder: ``spark.checkpoint.dir``.
+
+    If that is unset, a local session (tests) gets a temporary folder; on a cluster it is an error, as a folder of one
+    machine is not seen by the others.
+    """
     sc = spark.sparkContext
     named = sc.getConf().get("spark.checkpoint.dir", None)
     if named:
@@ -23,21 +33,44 @@ def shared_dir(spark: SparkSession) -> str:
             sc.setCheckpointDir(named)
         return named.rstrip("/")
     if sc.getCheckpointDir() is None:
+        if not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         sc.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="tessella-"))
     return sc.getCheckpointDir().rstrip("/")
 
 
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    return f"{_FOLDER.get() or shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables that are written under it are deleted at its end; for a result that is written whole somewhere else."""
+    folder = new_path(spark, "scratch")
+    token = _FOLDER.set(folder)
+    try:
+        yield
+    finally:
+        _FOLDER.reset(token)
+        place = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def written(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
     """``df`` as a Parquet table in the shared folder: computed once, lineage cut, safe from lost executors."""
-    path = new_path(df.sparkSession, name)
+    path = path or new_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, or a longer one if ``df`` has a column of that name."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """An eager reliable checkpoint in the shared folder."""
     shared_dir(df.sparkSession)
@@ -46,6 +79,7 @@ def checkpointed(df: DataFrame) -> DataFrame:
 
 #: Rows of a narrow table (numbers and digests) that may be broadcast: some ten megabytes.
 _SMALL = 100_000
+_BYTES = 32 << 20
 
 
 def if_small(df: DataFrame, most: int = _SMALL) -> DataFrame:
@@ -57,11 +91,13 @@ def if_small(df: DataFrame, most: int = _SMALL) -> DataFrame:
 
 
 def bounded_batches(df: DataFrame, most: int = 512) -> DataFrame:
-    """Lowers the session's number of rows in an Arrow batch to ``most``, as a batch of texts is held in memory whole."""
+    """Lowers the session's bounds of an Arrow batch to ``most`` rows and ``_BYTES`` bytes, as a batch of texts is held in
+    memory whole. They stay lowered, as the plan reads them when it runs; a single text may be larger."""
     conf = df.sparkSession.conf
-    now = int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch"))
-    if now <= 0 or now > most:
-        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", most)
+    for key, bound in (("maxRecordsPerBatch", most), ("maxBytesPerBatch", _BYTES)):
+        now = int(conf.get(f"spark.sql.execution.arrow.{key}").rstrip("b"))
+        if now <= 0 or now > bound:
+            conf.set(f"spark.sql.execution.arrow.{key}", bound)
     return df
 
 

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessella.llm.common import if_small, without_blanks, written
+from tessella.llm.common import free_name, if_small, without_blanks, written
 
 #: Fingerprints of a block that a merge holds at once, as an aim.
 _BLOCK = 50_000
@@ -137,17 +137,22 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that stay, with all their columns; of rows that repeat id and text, one stays."""
+    """The rows of ``docs`` that stay, with all their columns; of rows that repeat id and text, one stays.
+
+    Null texts count as empty ones; null ids are ids like others. Any other columns pass through, whatever their names. An
+    empty table stays empty.
+    """
     groups = written(exact_groups(docs, id_col, text_col), "exact-groups")
     pairs = lambda rows, k, v: rows.select(F.col("doc_id").alias(k), F.col("text_sha256").alias(v)).distinct()
-    gone, stays = pairs(groups.where("not kept"), "__gone", "__gone_sha"), pairs(groups.where("kept"), "__stays", "__stays_sha")
-    same = F.col("__gone").eqNullSafe(F.col("__stays")) & (F.col("__gone_sha") == F.col("__stays_sha"))
+    own, key, gone_id, gone_key = (free_name(docs, x) for x in ("own_id", "own_key", "gone_id", "gone_key"))
+    gone, stays = pairs(groups.where("not kept"), gone_id, gone_key), pairs(groups.where("kept"), "stays_id", "stays_key")
+    same = F.col(gone_id).eqNullSafe(F.col("stays_id")) & (F.col(gone_key) == F.col("stays_key"))
     # an id and text that both go and stay are repeated rows, of which one is kept
     alone = if_small(written(gone.join(stays, same, "left_anti"), "exact-gone"))
     twice = if_small(written(gone.join(stays, same, "left_semi"), "exact-twice"))
-    named = docs.withColumn("__id", F.col(id_col).cast("long")).withColumn("__key", F.sha2(without_blanks(F.col(text_col).cast("string")), 256))
-    on = F.col("__id").eqNullSafe(F.col("__gone")) & (F.col("__key") == F.col("__gone_sha"))
+    named = docs.withColumns({own: F.col(id_col).cast("long"), key: F.sha2(without_blanks(F.col(text_col).cast("string")), 256)})
+    on = F.col(own).eqNullSafe(F.col(gone_id)) & (F.col(key) == F.col(gone_key))
     left = named.join(alone, on, "left_anti")
     if twice.limit(1).count():
-        left = left.join(twice, on, "left_anti").unionByName(left.join(twice, on, "left_semi").dropDuplicates(["__id", "__key"]))
-    return left.drop("__id", "__key")
+        left = left.join(twice, on, "left_anti").unionByName(left.join(twice, on, "left_semi").dropDuplicates([own, key]))
+    return left.drop(own, key)

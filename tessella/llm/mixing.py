@@ -26,7 +26,7 @@ def _key(source: Column) -> Column:
     return F.when(source.isNull(), F.lit("1")).otherwise(F.concat(F.lit("0"), source.cast("string")))
 
 
-def _rows(docs: DataFrame, id_col: str, source_col: str, text_col: str, *more: str) -> DataFrame:
+def _rows(docs: DataFrame, id_col: str, source_col: str, text_col: str, *more: Column) -> DataFrame:
     """Per row: id, source key, size, size class (-1: no words), hash of 60 bits; ``more``: further columns."""
     size = n_words(F.col(text_col).cast("string"))
     h = F.shiftrightunsigned(F.xxhash64(F.lit("mix"), F.col(id_col)), 64 - _BITS)
@@ -143,8 +143,11 @@ def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", tex
 
 
 def mixed_documents(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:
-    """The mix itself: rows of ``docs``, all columns, each as often as it is taken."""
+    """The mix itself: rows of ``docs``, all columns whatever their names, each as often as it is taken (see ``mix``).
+
+    Documents without words (null and empty texts) are not in the mix. An empty table gives no rows.
+    """
     rows = written(_rows(docs, id_col, source_col, text_col), "mix-rows")
-    full = _rows(docs, id_col, source_col, text_col, *docs.columns)
+    full = _rows(docs, id_col, source_col, text_col, F.struct(*docs.columns).alias("__row"))
     placed = full.join(if_small(decisions(rows, weights, share, most)), ["__key", "__cls"]).withColumn("__times", F.when(F.col("__size") > 0, _copies()).otherwise(0))
-    return placed.where("__times > 0").withColumn("__each", F.explode(F.sequence(F.lit(1), F.col("__times")))).select(*docs.columns)
+    return placed.where("__times > 0").select("__row", F.explode(F.sequence(F.lit(1), F.col("__times"))).alias("__each")).select("__row.*")

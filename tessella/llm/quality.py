@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm.common import bounded_batches, sample_by_hash
+from tessella.llm.common import bounded_batches, if_small, sample_by_hash, written
 
 #: Labelled rows that training gathers, about; a bound, not a share.
 SAMPLE = 20_000
@@ -201,13 +201,15 @@ def _measured(docs: DataFrame, keep: list[str], text_col: str) -> DataFrame:
 def fit(docs: DataFrame, labels: DataFrame, chosen: Column, text_col: str = "text", id_col: str = "doc_id", label_col: str = "quality", sample: int = SAMPLE) -> Model:
     """Learns from about ``sample`` of the labelled rows that ``chosen`` (over the labels) picks; null labels are left out.
 
-    The sample is bounded, so its ids may be broadcast and its features gathered on the driver. A label of 1 or more
-    counts as one. Training rows are sorted, so that it gives the same model whatever order they come in.
+    Of labels that repeat an id, the largest counts, so the sample's ids are distinct and bounded: they may be broadcast if
+    they are counted to be few, and the features gathered on the driver (of documents that repeat an id, one by the least
+    features). A label of 1 or more counts as one. Training rows are sorted, so that it gives the same model whatever order they come in.
     """
     known = labels.where(chosen & F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).alias("__id"), (F.col(label_col) >= 1).cast("int").alias("__y"))
-    picked = sample_by_hash(known, "__id", sample)
-    rows = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__t")).join(F.broadcast(picked), "__id")
-    got = _measured(rows.select("__id", "__y", "__t"), ["__id", "__y"], "__t").toArrow()
+    picked = written(sample_by_hash(known.groupBy("__id").agg(F.max("__y").alias("__y")), "__id", sample), "quality-sample")
+    rows = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__t")).join(if_small(picked), "__id")
+    measured = _measured(rows.select("__id", "__y", "__t"), ["__id", "__y"], "__t")
+    got = measured.groupBy("__id").agg(F.min(F.struct("__y", "__x")).alias("r")).select("r.*").toArrow()
     y = got.column("__y").to_numpy()
     x = np.array(got.column("__x").to_pylist(), float).reshape(len(y), len(FEATURES))
     order = np.lexsort((*x.T, y))
@@ -215,7 +217,11 @@ def fit(docs: DataFrame, labels: DataFrame, chosen: Column, text_col: str = "tex
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """doc_id, score, predicted of every whole text (null: empty). Only these columns are read, whatever others there are."""
+    """doc_id, score, predicted of every whole text (null: empty): one row per input row, repeated rows and null ids too.
+
+    Equal texts have equal scores. An empty table gives no rows. Only the id and text columns are read, whatever others
+    there are.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

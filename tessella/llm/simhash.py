@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm.common import bounded_batches, checkpointed, if_small, release_memory, written
+from tessella.llm.common import bounded_batches, checkpointed, free_name, if_small, release_memory, written
 from tessella.llm.components import components
 
 SEED = 42
@@ -127,7 +127,9 @@ def near_groups(docs: DataFrame, radius: int = 2, words: int = 3, id_col: str =
 def drop_near_copies(docs: DataFrame, radius: int = 2, words: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` without those that another document of their component stands for: its smallest id stays.
 
-    Rows with a null id stay, as no other can be told from them; of repeated ids all rows stay or go.
+    Rows with a null id stay, as no other can be told from them; of repeated ids all rows stay or go. Other columns pass
+    through, whatever their names. An empty table stays empty.
     """
-    gone = written(near_groups(docs, radius, words, id_col, text_col).where("doc_id != component_id").select(F.col("doc_id").alias("__gone")).distinct(), "simhash-gone")
-    return docs.join(if_small(gone), docs[id_col].cast("long") == F.col("__gone"), "left_anti")
+    gone_id = free_name(docs, "gone_id")
+    gone = written(near_groups(docs, radius, words, id_col, text_col).where("doc_id != component_id").select(F.col("doc_id").alias(gone_id)).distinct(), "simhash-gone")
+    return docs.join(if_small(gone), F.col(id_col).cast("long") == F.col(gone_id), "left_anti")

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm.common import bounded_batches, if_small, release_memory, written
+from tessella.llm.common import bounded_batches, free_name, if_small, release_memory, written
 from tessella.llm.components import components
 
 WORDS = 5
@@ -252,6 +252,6 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     Rows with a null id stay, as no other can be told from them; of repeated ids all rows stay or go. Other columns pass
     through, whatever their names. An empty table stays empty.
     """
-    gone = written(near_groups(docs, id_col, text_col).where("doc_id != component_id").select("doc_id").distinct(), "wide-gone")
-    gone = if_small(gone).alias("__gone")
-    return docs.alias("__docs").join(gone, F.col(f"__docs.`{id_col}`").cast("long") == F.col("__gone.doc_id"), "left_anti")
+    gone_id = free_name(docs, "gone_id")
+    gone = written(near_groups(docs, id_col, text_col).where("doc_id != component_id").select(F.col("doc_id").alias(gone_id)).distinct(), "wide-gone")
+    return docs.join(if_small(gone), F.col(id_col).cast("long") == F.col(gone_id), "left_anti")

@@ -128,7 +128,11 @@ def spans(places: list[tuple[int, int]], gap: int = GAP, most: int = MOST) -> li
 
 def read_records(index: DataFrame, select: Column | None = None, payloads: bool = False) -> DataFrame:
     """The records that ``select`` (over the index's columns) picks: page_id, payload_bytes, payload_digest, record_type,
-    refers_to, and with ``payloads`` the bytes of responses (of revisits null)."""
+    refers_to, and with ``payloads`` the bytes of responses (of revisits null).
+
+    One row per record, in any order; a null id comes back null, repeated ids have a row each, an empty index gives none.
+    A very large record is read alone. Only the index's own columns are read.
+    """
     shape = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long" + ", payload binary" * payloads
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -67,6 +67,92 @@ def test_scores_are_the_plain_product():
         assert model.score(body)[0] == "ab"[int(np.argmax(total))]
 
 
+def test_batches_are_the_plain_product():
+    """Labels and posteriors of a batch, whatever stands beside a text in it."""
+    rng = np.random.default_rng(5)
+    model = langid.Model(["a", "b", "c"], np.log([0.5, 0.3, 0.2]), np.log(rng.random((langid.BUCKETS, 3)) + 0.5))
+    texts = ["ab", "x", None, "Hello There", "", "123", "İstanbul ß", "zz" * 70, "q", "\ud800a", "y " * 400, "end"]
+    for room in (1, 60, 10**6):
+        langid._GATHER, kept = room * langid.N * 3, langid._GATHER
+        got = model.scores(texts)
+        langid._GATHER = kept
+        for body, (label, p) in zip(texts, got):
+            if not body or not any(c.isalpha() for c in body):
+                assert (label, p) == ("und", 0.0)
+                continue
+            total = model.prior + sum(model.logs[b] for part in langid.buckets(body) for b in part)
+            odds = np.exp(total - total.max())
+            assert label == "abc"[int(np.argmax(total))] and abs(p - odds.max() / odds.sum()) < 1e-9
+
+
+def test_clashing_names_are_an_error(spark, corpus):
+    model = langid.Model(["a"], np.zeros(1), np.zeros((langid.BUCKETS, 1)))
+    with pytest.raises(ValueError, match="already"):
+        langid.annotate(corpus, model, lang_out="lang")
+
+
+def plain_tree(g, h, leaves, reg, least):
+    """Leaf values by trying every cut of every part."""
+    parts = [list(range(len(g)))]
+    gain = lambda p: sum(g[i] for i in p) ** 2 / (sum(h[i] for i in p) + reg)
+    while len(parts) < leaves:
+        best = (1e-9, None)
+        for p in parts:
+            for at in range(1, len(p)):
+                a, b = p[:at], p[at:]
+                if sum(h[i] for i in a) >= least and sum(h[i] for i in b) >= least and gain(a) + gain(b) - gain(p) > best[0]:
+                    best = (gain(a) + gain(b) - gain(p), (p, a, b))
+        if best[1] is None:
+            break
+        p, a, b = best[1]
+        parts = [x for x in parts if x is not p] + [a, b]
+    out = [0.0] * len(g)
+    for p in parts:
+        for i in p:
+            out[i] = sum(g[j] for j in p) / (sum(h[j] for j in p) + reg)
+    return out
+
+
+def test_tables_are_those_of_plain_boosting():
+    rng = np.random.default_rng(8)
+    x = rng.random((300, 3))
+    y = (x[:, 0] + 0.3 * rng.random(300) > 0.6).astype(int)
+    model = quality.train(x, y, n_bins=6, rounds=5, pairs=0, pair_rounds=0)
+    margin = [model.base] * 300
+    bins = [[sum(v >= e for e in model.edges[j]) for v in x[:, j]] for j in range(3)]
+    tables = [[0.0] * (len(e) + 1) for e in model.edges]
+    for _ in range(5):
+        for j in range(3):
+            g, h = [0.0] * len(tables[j]), [0.0] * len(tables[j])
+            for i in range(300):
+                p = 1 / (1 + np.exp(-margin[i]))
+                g[bins[j][i]] += y[i] - p
+                h[bins[j][i]] += p * (1 - p)
+            step = [0.1 * v for v in plain_tree(g, h, 3, 1.0, 2.0)]
+            tables[j] = [a + b for a, b in zip(tables[j], step)]
+            margin = [m + step[b] for m, b in zip(margin, bins[j])]
+    assert all(np.allclose(a, b) for a, b in zip(model.tables, tables))
+    assert np.allclose(model.score(x), 1 / (1 + np.exp(-np.array(margin))))
+
+
+def test_pair_scores_are_sums_of_entries():
+    rng = np.random.default_rng(9)
+    x = rng.random((500, 4))
+    model = quality.train(x, ((x[:, 0] > 0.5) ^ (x[:, 2] > 0.4)).astype(int), n_bins=8, rounds=3, pairs=2, pair_rounds=4)
+    for row, got in zip(x[:50], model.score(x[:50])):
+        b = [sum(v >= e for e in edges) for v, edges in zip(row, model.edges)]
+        total = model.base + sum(t[i] for t, i in zip(model.tables, b))
+        total += sum(t[model.coarse[i][b[i]]][model.coarse[j][b[j]]] for (i, j), t in zip(model.pairs, model.pair_tables))
+        assert abs(got - 1 / (1 + np.exp(-total))) < 1e-12
+
+
+def test_labels_that_repeat_an_id(spark, corpus):
+    labels = corpus.select("doc_id", "quality")
+    again = labels.unionByName(labels).unionByName(spark.createDataFrame([(0, None)] * 50, "doc_id long, quality int"))
+    one, two = (quality.fit(corpus, x, F.lit(True), sample=10_000) for x in (labels, again))
+    assert np.allclose(one.score(np.eye(len(quality.FEATURES))), two.score(np.eye(len(quality.FEATURES))))
+
+
 def test_quality(spark, corpus):
     labels = corpus.select("doc_id", "quality")
     model = quality.fit(corpus, labels, crc_mod(F.col("doc_id"), 5) != 0)
