@@ -36,7 +36,7 @@ WORDS_OF_64, WIDTH, SEGMENTS, FLIPS = 8, 24, 21, 3
 #: Differing bits that end a comparison: of the sample of 64, and of all SEGMENTS * WIDTH. At similarity 0.8 the expected
 #: numbers are 9.7 and 76, with deviations of 2.9 and 8.1.
 HEAD_FAR, FAR = 22, 112
-CROWD = 256
+CROWD = 8
 SEED = 42
 _STARS = 2
 _RANDOM = np.random.default_rng(SEED)
