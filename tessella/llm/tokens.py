@@ -318,7 +318,7 @@ class Shard:
 _MANIFEST = "shard int, path string, n_rows long, n_tokens long, nulls long, first long, last long"
 _ROWS = "doc_id long, start long, n_tokens long, ids_crc32 long"
 #: Bytes of text of a shard, as an aim: small tables make smaller shards, at least one a core, down to the lesser size.
-SHARD_BYTES, LEAST_BYTES = 256 << 20, 4 << 20
+SHARD_BYTES, LEAST_BYTES = 64 << 20, 4 << 20
 #: Rows of a shard, about, that the sample of its key ranges holds.
 _SAMPLE = 32
 _HEAD = 64
@@ -363,7 +363,7 @@ def write_shards(docs: DataFrame, folder: str, id_col: str = "doc_id", text_col:
     bounds = _bounds(rows, n, max(1, many))
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for held, flat, place in encoder(path).blocks(batches, end_id):
+        for held, flat, place in encoder(path, MEMO, AT_ONCE // 2).blocks(batches, end_id):
             keys, heads, salts = held.column(0).combine_chunks(), held.column(3).combine_chunks(), held.column(2)
             ids = pc.fill_null(keys, _LOW).to_numpy(zero_copy_only=False)
             shard = _shard_of(bounds, ids, lambda i: (heads[i].as_py() or "", salts[i].as_py()))  # noqa: B023
