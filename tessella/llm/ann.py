@@ -26,7 +26,7 @@ PREFIX, VISITS = 128, 64
 RERANK, LEAST = 0.04, 200
 #: Rows of a block, about; more than ``_MOST`` (equal rows that a hash cannot part) are cut into several.
 ROWS, _MOST = 8_192, 16_384
-_FILE = 8  # blocks of a file
+_FILE = 8  # blocks of a file, if there are enough files for all cores
 _QUERIES = 8_192
 _EMPTY = "query_id long, rank int, vec_id long, score double"
 _INDEX = "block long, slot int, id long, v array<double>, rows binary, places binary"
@@ -80,7 +80,7 @@ def nearest(ids: np.ndarray, x: np.ndarray, lists: list, q: np.ndarray, order: n
 def _write_index(rows: DataFrame, n: int, pivots: np.ndarray, prefix: int) -> DataFrame:
     """A block's vectors in slots from 0, in order of their ids, then its lists in slots from -1 down (pivot -1 - slot)."""
     blocks = -(-n // ROWS)
-    files = -(-blocks // _FILE)
+    files = max(-(-blocks // _FILE), min(blocks, rows.sparkSession.sparkContext.defaultParallelism))
     shared = rows.sparkSession.sparkContext.broadcast(pivots)
     names = [x.split()[0] for x in _INDEX.split(", ")]
     kinds = [pa.int64(), pa.int32(), pa.int64(), pa.list_(pa.float64()), pa.binary(), pa.binary()]
