@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-from bisect import bisect_right
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessella.functions.sentinels import unmask
@@ -41,13 +40,18 @@ class OffsetMap:
     def identity(cls, length: int) -> OffsetMap:
         return cls((), (), length, length)
 
+    def _column(self) -> Column:
+        keys = F.array(*[F.struct(F.lit(k).alias("key"), F.lit(d).alias("delta")) for k, d in zip(self.clean_keys, self.cum_deltas)]).cast(offsets._KEYS)
+        return F.struct(keys.alias("keys"), F.lit(self.raw_length).alias("raw_length"), F.lit(self.clean_length).alias("clean_length"))
+
     def clean_to_raw(self, index: int) -> int:
-        at = bisect_right(self.clean_keys, index)
-        return min(self.raw_length, index + (self.cum_deltas[at - 1] if at else 0))
+        _session()
+        return _one(None).select(offsets.to_raw(self._column(), F.lit(index))).first()[0]
 
     def clean_span_to_raw_span(self, start: int, end: int) -> tuple[int, int]:
-        a = self.clean_to_raw(start)
-        return a, max(a, self.clean_to_raw(end))
+        _session()
+        row = _one(None).select(offsets.span_to_raw(self._column(), F.lit(start), F.lit(end)).alias("s")).first()["s"]
+        return row["start"], row["end"]
 
 
 @dataclass(frozen=True, slots=True)

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterable
 
+from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -28,6 +29,43 @@ def run(df: DataFrame, col: str, stages: Iterable[Stage]) -> DataFrame:
     return df
 
 
+class Steps:
+    """Projections that are recorded in place of a table's, and replayed on any table.
+
+    Making a stage's expressions takes many calls into the JVM, applying them takes one; so a chain is made once per set of
+    options. It stands for the table in the functions that build it.
+    """
+
+    def __init__(self) -> None:
+        self._steps: list[Callable[[DataFrame], DataFrame]] = []
+
+    def _then(self, step: Callable[[DataFrame], DataFrame]) -> Steps:
+        self._steps.append(step)
+        return self
+
+    def withColumns(self, columns: dict[str, Column]) -> Steps:  # noqa: N802
+        return self._then(lambda df: df.withColumns(columns))
+
+    def withColumn(self, name: str, column: Column) -> Steps:  # noqa: N802
+        return self.withColumns({name: column})
+
+    def withColumnRenamed(self, name: str, to: str) -> Steps:  # noqa: N802
+        return self._then(lambda df: df.withColumnRenamed(name, to))
+
+    def drop(self, *names: str) -> Steps:
+        return self._then(lambda df: df.drop(*names))
+
+    def on(self, df: DataFrame) -> DataFrame:
+        for step in self._steps:
+            df = step(df)
+        return df
+
+
+def gateway() -> int:
+    """Names the JVM that expressions belong to."""
+    return id(SparkContext._gateway)
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """``body`` of a value that is computed once."""
     return F.element_at(F.transform(F.array(value), body), 1)

@@ -115,5 +115,5 @@ def profile(language: str | Profile | None) -> Profile | None:
     if isinstance(language, Profile):
         return language
     if language not in CODES:
-        raise ValueError(f"Provide valid language ID i.e. ISO code. Available codes are : {set(CODES)}")
+        raise ValueError(f"Provide valid language ID, not {language!r}: there are profiles for {', '.join(CODES)}")
     return _shipped(language)

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from functools import reduce
+from functools import lru_cache, reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessella.functions.columns import FLAGS
+from tessella.functions.columns import FLAGS, Steps, gateway
 from tessella.functions.languages import Profile, profile
 from tessella.functions.sentinels import ELLIPSIS_SPACE, END, unmask
 from tessella.operators import cleaning, masking, offsets
@@ -21,7 +21,7 @@ _BLANK = r"(?U)^[\s\x1c-\x1f]*\z"
 def check_options(language: Language, clean: bool, doc_type: str) -> Profile | None:
     """Errors come when the plan is built, not when it runs."""
     if doc_type == "pdf" and not clean:
-        raise ValueError("`doc_type='pdf'` requires `clean=True` to normalize PDF line breaks.")
+        raise ValueError("doc_type='pdf' requires `clean=True`: joining PDF lines is a part of cleaning")
     return profile(language)
 
 
@@ -40,9 +40,14 @@ def segment(df: DataFrame, text_col: str = "text", language: Language = "en", cl
 
     Null and blank texts have an empty array. A record's ``sent`` runs on over the white space after it.
     """
-    p = check_options(language, clean, doc_type)
+    return _chain(gateway(), text_col, check_options(language, clean, doc_type), clean, doc_type, char_span, out).on(df)
+
+
+@lru_cache(maxsize=128)
+def _chain(jvm: int, text_col: str, p: Profile | None, clean: bool, doc_type: str, char_span: bool, out: str) -> Steps:
+    """All projections of one set of options."""
     text = F.when(~F.rlike(F.col(text_col), F.lit(_BLANK)), F.col(text_col))
-    df = df.withColumn("__text", text)
+    df = Steps().withColumn("__text", text)
     if clean and char_span:
         df = offsets.clean_with_map(df, "__text", "__target", p, doc_type)
     else:

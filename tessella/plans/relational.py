@@ -190,9 +190,12 @@ def pass_counts(spark, sf_dir):
 
 
 def neighbour_lines(spark, sf_dir):
-    w = Window.partitionBy("doc_id").orderBy("line_id")
-    n = F.length("line")
-    return _lines(spark, sf_dir).select("doc_id", "line_id", F.lag(n).over(w).alias("before"), F.lead(n).over(w).alias("after"), F.lead("start_at").over(w).alias("next_start"))
+    """Neighbours are beside each other in their document's array, so nothing is shuffled."""
+    df = lines(_table(spark, sf_dir, "documents").select("doc_id", "text"), "text")
+    numbered = F.transform("__lines", lambda x, i: F.struct(i.alias("line_id"), x["at"].alias("at"), F.length(x["line"]).alias("n"), (F.length(F.trim(x["line"])) > 0).alias("full")))
+    df = df.select("doc_id", F.filter(numbered, lambda x: x["full"]).alias("l"))
+    beside = F.transform("l", lambda x, i: F.struct(x["line_id"].alias("line_id"), F.get("l", i - 1)["n"].alias("before"), F.get("l", i + 1)["n"].alias("after"), F.get("l", i + 1)["at"].alias("next_start")))
+    return df.select("doc_id", F.explode_outer(beside).alias("x")).select("doc_id", "x.*").where(F.col("line_id").isNotNull())
 
 
 def paragraph_chunks(spark, sf_dir):
