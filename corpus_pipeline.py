@@ -51,7 +51,7 @@ def sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Less memory for each worker than by default, as earlier stages' heap is still there.
     """
-    return packing.pack(docs, memo=120_000, at_once=2 << 20)
+    return packing.pack(docs, memo=60_000, at_once=1 << 20)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
