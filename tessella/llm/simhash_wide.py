@@ -14,11 +14,17 @@ size behaves alike; 24 bits serve to some 10^8 sets, beyond that it has to be ra
 Equal sets are one node from the start. Keys that more than ``CROWD`` nodes share are taken first: their members are compared
 with one of them, the centre, twice; then only with members of the key whose component differs, where the members of the
 key's largest component do not meet each other. So a large group of copies costs its size, not its square.
+
+Texts that share a passage are alike below 0.8 in any number, and no component tells them apart. For them a set has an odd
+sketch (Mitzenmacher, Pagh, Pham 2014): ``PARITIES`` bits, each the parity of the set's hashes in a bucket. A hash that only
+one of two sets has flips one bit, so the bits that differ are at most the hashes that do, of which similar sets have at most
+a ninth of both sizes: the test loses no pair. In crowded keys it is a part of the join, elsewhere it comes before the sets.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from itertools import combinations
 
 import numpy as np
@@ -36,13 +42,15 @@ WORDS_OF_64, WIDTH, SEGMENTS, FLIPS = 8, 24, 21, 3
 #: Differing bits that end a comparison: of the sample of 64, and of all SEGMENTS * WIDTH. At similarity 0.8 the expected
 #: numbers are 9.7 and 76, with deviations of 2.9 and 8.1.
 HEAD_FAR, FAR = 22, 112
-CROWD = 8
+#: Other keys give at most so many pairs a visit, unfiltered: in proportion to the input.
+CROWD = 3
+PARITIES = 256
 SEED = 42
 _STARS = 2
 _RANDOM = np.random.default_rng(SEED)
 _TIMES = _RANDOM.integers(0, 2**63, (2, WORDS_OF_64), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _SUM = 255  # rows that a byte can add up
-_NODE = "fp long, size int, head long, keys array<int>, low array<int>"
+_NODE = "fp long, size int, head long, keys array<int>, low array<int>, odd array<long>"
 
 
 def shingles(text: str | None, words: int = WORDS) -> np.ndarray:
@@ -80,6 +88,12 @@ def sketch(hashes: np.ndarray) -> tuple[int, np.ndarray, np.ndarray]:
     return head, (parts > 0).astype(np.int32) @ place, place[low].ravel()
 
 
+def parities(hashes: np.ndarray) -> list[int]:
+    """The odd sketch: per bucket of hashes, whether it holds an odd number; as words of 64 bits."""
+    odd = np.bincount((hashes % np.uint64(PARITIES)).astype(np.int64), minlength=PARITIES) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view("<i8").tolist()
+
+
 def _digest(hashes: np.ndarray) -> int:
     import xxhash
 
@@ -100,14 +114,14 @@ def _sketches(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ints = pa.list_(pa.int32())
         for batch in batches:
-            prints, sizes, heads, keys, low = [], [], [], [], []
+            prints, sizes, heads, keys, low, odd = [], [], [], [], [], []
             for text in batch.column(1):
                 hashes = shingles(text.as_py())
                 head, key, mask = sketch(hashes) if len(hashes) else (0, [], [])
-                for column, value in zip((prints, sizes, heads, keys, low), (_digest(hashes), len(hashes), head, key, mask)):
+                for column, value in zip((prints, sizes, heads, keys, low, odd), (_digest(hashes), len(hashes), head, key, mask, parities(hashes))):
                     column.append(value)
-            columns = [batch.column(0), _signed(prints), pa.array(sizes, pa.int32()), pa.array(heads, pa.int64()), pa.array(keys, ints), pa.array(low, ints)]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "fp", "size", "head", "keys", "low"])
+            columns = [batch.column(0), _signed(prints), pa.array(sizes, pa.int32()), pa.array(heads, pa.int64()), pa.array(keys, ints), pa.array(low, ints), pa.array(odd, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "fp", "size", "head", "keys", "low", "odd"])
         release_memory()
 
     return _slim(docs, id_col, text_col).mapInArrow(run, f"doc_id long, {_NODE}")
@@ -157,19 +171,27 @@ def _near(one: str, other: str) -> Column:
     return F.bit_count(F.col(one).bitwiseXOR(F.col(other))) <= HEAD_FAR
 
 
-def _meet(walks: DataFrame, shelf: DataFrame) -> DataFrame:
-    """Pairs under a key whose components differ and whose samples are near."""
+def _may(n: Column, m: Column, one: Column, other: Column) -> Column:
+    """Whether sets of these sizes and odd sketches may be similar enough; true of all that are."""
+    up, down = LEAST
+    apart = reduce(Column.__add__, [F.bit_count(F.get(one, F.lit(i)).bitwiseXOR(F.get(other, F.lit(i)))) for i in range(PARITIES // 64)])
+    return (F.least(n, m) * down >= F.greatest(n, m) * up) & (apart * (up + down) <= (n + m) * (down - up))
+
+
+def _meet(walks: DataFrame, shelf: DataFrame, crowded: bool = False) -> DataFrame:
+    """Pairs under a key whose components differ and whose samples are near; in crowded keys only those that may be alike."""
     w, s = walks.alias("w"), shelf.alias("s")
     on = (F.col("w.key") == F.col("s.key")) & (F.col("w.root") != F.col("s.root")) & _near("w.head", "s.head")
+    if crowded:
+        on &= _may(F.col("w.size"), F.col("s.size"), F.col("w.odd"), F.col("s.odd"))
     return w.join(s, on).select(*_pair("w.fp", "s.fp"))
 
 
 def _close(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Those of the pairs ``a, b`` whose sizes allow the similarity and whose complete distance is small."""
-    up, down = LEAST
-    one = nodes.select(F.col("fp").alias("a"), F.col("size").alias("n"), F.col("keys").alias("x"))
-    other = nodes.select(F.col("fp").alias("b"), F.col("size").alias("m"), F.col("keys").alias("y"))
-    both = pairs.distinct().join(one, "a").join(other, "b").where(F.least("n", "m") * down >= F.greatest("n", "m") * up)
+    """Those of the pairs ``a, b`` whose sizes and odd sketches allow the similarity and whose complete distance is small."""
+    one = nodes.select(F.col("fp").alias("a"), F.col("size").alias("n"), F.col("keys").alias("x"), F.col("odd").alias("o"))
+    other = nodes.select(F.col("fp").alias("b"), F.col("size").alias("m"), F.col("keys").alias("y"), F.col("odd").alias("p"))
+    both = pairs.distinct().join(one, "a").join(other, "b").where(_may(F.col("n"), F.col("m"), F.col("o"), F.col("p")))
     apart = F.aggregate(F.zip_with("x", "y", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda total, x: total + x)
     return both.where(apart <= FAR).select("a", "b")
 
@@ -212,7 +234,7 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     gives no rows. Only the two named columns are read. ``crowd`` changes the way, not the result.
     """
     sketches = written(_sketches(docs, id_col, text_col), "wide-sketches")
-    rest = [F.first(c).alias(c) for c in ("size", "head", "keys", "low")]
+    rest = [F.first(c).alias(c) for c in ("size", "head", "keys", "low", "odd")]
     nodes = written(sketches.groupBy("fp").agg(F.min("doc_id").alias("least"), *rest).withColumn("root", F.col("fp")), "wide-nodes")
 
     def decide(pairs: DataFrame) -> DataFrame:
@@ -233,10 +255,10 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         # in a crowded key the largest component's members meet the others only
         sizes = shelf.join(crowded, "key", "left_semi").groupBy("key", "root").count()
         top = if_small(written(sizes.groupBy("key").agg(F.max_by("root", F.struct("count", "root")).alias("top")), "wide-top"))
-        dense = lambda rows: rows.join(top, "key")
+        dense = lambda rows: rows.join(top, "key").join(now.select("fp", "size", "odd"), "fp")
         big, w, s = F.col("root") == F.col("top"), dense(walks), dense(shelf)
         pairs = _meet(walks.join(crowded, "key", "left_anti"), shelf.join(crowded, "key", "left_anti"))
-        pairs = pairs.unionByName(_meet(w.where(~big).drop("top"), s.drop("top"))).unionByName(_meet(w.where(big).drop("top"), s.where(~big).drop("top")))
+        pairs = pairs.unionByName(_meet(w.where(~big).drop("top"), s.drop("top"), True)).unionByName(_meet(w.where(big).drop("top"), s.where(~big).drop("top"), True))
         found = stars.unionByName(decide(pairs))
     roots = components(found, "a", "b")
     tied = nodes.select("fp", "least").join(roots, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))

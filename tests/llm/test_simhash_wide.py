@@ -93,3 +93,27 @@ def test_empty_null_long_and_repeated_ids(spark):
     assert sorted((r.doc_id or 0, r.component_id or 0) for r in got) == [(0, 0), (0, 3), (3, 3), (3, 3), (8, 8), (9, 8), (9, 9)]
     assert wide.drop_near_copies(rows).count() == 5  # of a repeated id all rows go
     assert wide.near_groups(rows.where("false")).count() == 0
+
+
+def test_odd_sketches_lose_no_similar_pair(spark):
+    rng, rows, want = random.Random(3), [], []
+    for i in range(300):
+        base = [rng.getrandbits(64) for _ in range(rng.choice((1, 5, 40, 150, 900)))]
+        other = base[rng.randrange(len(base) // 3 + 1) :] + [rng.getrandbits(64) for _ in range(rng.randrange(len(base) // 3 + 1))]
+        a, b = (np.unique(np.array(x, np.uint64)) for x in (base, other))
+        rows.append((i, len(a), len(b), wide.parities(a), wide.parities(b)))
+        want.append(alike(set(a.tolist()), set(b.tolist())))
+    df = spark.createDataFrame(rows, "i int, n int, m int, x array<long>, y array<long>")
+    may = {r.i for r in df.where(wide._may(*(df[c] for c in "nmxy"))).collect()}
+    similar = {i for i, yes in enumerate(want) if yes}
+    assert similar <= may and 50 < len(similar) and len(may) < 300
+    assert wide.parities(np.array([3, 3 + 256, 64], np.uint64)) == [0, 1, 0, 0]
+
+
+def test_texts_that_share_a_passage_are_not_paired_up(spark):
+    """Similarity of about 0.7 among all of a cloud: none is linked, and few pairs get as far as the sets."""
+    rng = random.Random(5)
+    passage = [f"p{i}" for i in range(124)]
+    texts = {i: " ".join([*passage, *(f"w{rng.randrange(10**9)}" for _ in range(26))]) for i in range(60)}
+    rows = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    assert {r.component_id for r in wide.near_groups(rows).collect()} == set(texts)
