@@ -205,11 +205,22 @@ def paragraph_chunks(spark, sf_dir):
 
 
 def asof_offset_projection(spark, sf_dir):
+    """Each error with the last click of the same user not later than it."""
+    return _last_clicks(spark, sf_dir, "error").select("event_id", "click_id", "click_value")
+
+
+def asof_purchases_and_errors(spark, sf_dir):
     """Each purchase or error with the last click of the same user not later than it."""
+    return _last_clicks(spark, sf_dir, "purchase", "error")
+
+
+def _last_clicks(spark: SparkSession, sf_dir: str, *kinds: str) -> DataFrame:
+    """Sliced by day, so that a user with very many events is not one task."""
     events = _table(spark, sf_dir, "events")
-    left = events.where("event_type = 'error'").select("user_id", "ts", "event_id")
+    left = events.where(F.col("event_type").isin(*kinds)).select("user_id", "ts", "event_id", "event_type")
     right = events.where("event_type = 'click'").select("user_id", "ts", F.col("event_id").alias("click_id"), F.col("value").alias("click_value"))
-    return asof(left, right, "ts", ["user_id"], ["click_id", "click_value"]).select("event_id", "click_id", "click_value")
+    found = asof(left, right, "ts", ["user_id"], ["click_id", "click_value"], F.to_date("ts"))
+    return found.select("event_id", "event_type", "click_id", "click_value")
 
 
 def offset_maps_pages(spark, sf_dir):
@@ -222,6 +233,18 @@ def offset_maps_pages(spark, sf_dir):
     return df.select("page_id", F.length("t").alias("clean_length"), F.col("m.raw_length").alias("raw_length"), offsets.to_raw(F.col("m"), F.lit(0)).alias("first_at"), offsets.to_raw(F.col("m"), F.length("t")).alias("end_at"), F.size("m.keys").alias("n_keys"))
 
 
+def offset_spans_pages(spark, sf_dir):
+    """A page's URL between two tags: its span in the cleaned text, led back to the raw one, and by the identity map."""
+    raw = F.concat(F.lit("<p class='x'>"), F.translate("url", "<>", "  "), F.lit("</p>"), F.col("page_id").cast("string"))
+    df = _table(spark, sf_dir, "pages").select("page_id", raw.alias("raw")).withColumns({"t": F.col("raw"), "__keys": F.array().cast(offsets._KEYS), "__raw_length": F.length("raw")})
+    df = offsets._follow(df, "t", HTML[0])
+    made = F.struct(F.col("__keys").alias("keys"), F.col("__raw_length").alias("raw_length"), F.length("t").alias("clean_length"))
+    n = F.length("t") - F.length(F.col("page_id").cast("string"))
+    df = df.select("page_id", F.col("raw"), offsets.span_to_raw(made, F.lit(1), n - 1).alias("s"), offsets.span_to_raw(offsets.identity(F.length("raw")), F.lit(1), F.length("raw") + 5).alias("same"))
+    inner = F.substring(F.col("raw"), F.col("s.start") + 1, F.col("s.end") - F.col("s.start"))
+    return df.select("page_id", F.col("s.start").alias("start_at"), F.col("s.end").alias("end_at"), inner.alias("inside"), F.col("same.start").alias("same_start"), F.col("same.end").alias("same_end"))
+
+
 def numbered_line_sink(spark, sf_dir):
     return numbered_lines(_lines(spark, sf_dir), "line", "line_id").select(F.col("value"))
 
@@ -290,7 +313,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         lexicon_semi_join, lexicon_set_lookup, lexicon_anti_join, lexicon_union, lexicon_except, lexicon_intersect, lexicon_longest_first,
         language_config_join, line_stats_by_lang, char_counts, lines_cube_lang_source, lines_rollup_lang_source, longest_lines_topk, duplicate_lines,
         benchmark_overlap_semi, benchmark_overlap_anti, conversations_lines_by_role, pass_counts, neighbour_lines, paragraph_chunks,
-        asof_offset_projection, offset_maps_pages, numbered_line_sink,
+        asof_offset_projection, asof_purchases_and_errors, offset_maps_pages, offset_spans_pages, numbered_line_sink,
     )
 }
 
@@ -328,6 +351,8 @@ ORACLES: dict[str, str] = {
     "neighbour_lines": f"SELECT doc_id, line_id, CAST(lag(length(line)) OVER w AS INTEGER) AS before, CAST(lead(length(line)) OVER w AS INTEGER) AS after, lead(start_at) OVER w AS next_start FROM {_LINES} WINDOW w AS (PARTITION BY doc_id ORDER BY line_id)",
     "paragraph_chunks": r"SELECT doc_id, CAST(c AS INTEGER) AS chunk, CAST(coalesce(sum(n) OVER (PARTITION BY doc_id ORDER BY c ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS INTEGER) AS chunk_start, CAST(n AS INTEGER) AS n FROM (SELECT doc_id, (i - 1) // 5 AS c, sum(length(l[i]) + CASE WHEN i < len(l) THEN 2 ELSE 0 END) AS n FROM (SELECT doc_id, l, unnest(range(1, len(l) + 1)) AS i FROM (SELECT doc_id, string_split_regex(text, '\n+') AS l FROM documents WHERE length(trim(text)) > 0)) GROUP BY doc_id, c) WHERE n > 0",
     "asof_offset_projection": "SELECT e.event_id, c.event_id AS click_id, c.value AS click_value FROM (SELECT * FROM events WHERE event_type = 'error') e ASOF LEFT JOIN (SELECT * FROM events WHERE event_type = 'click') c ON e.user_id = c.user_id AND e.ts >= c.ts",
+    "asof_purchases_and_errors": "SELECT e.event_id, e.event_type, c.event_id AS click_id, c.value AS click_value FROM (SELECT * FROM events WHERE event_type IN ('purchase', 'error')) e ASOF LEFT JOIN (SELECT * FROM events WHERE event_type = 'click') c ON e.user_id = c.user_id AND e.ts >= c.ts",
+    "offset_spans_pages": "SELECT page_id, 14 AS start_at, CAST(12 + length(url) AS INTEGER) AS end_at, translate(url[2:length(url) - 1], '<>', '  ') AS inside, 1 AS same_start, CAST(17 + length(url) + length(CAST(page_id AS VARCHAR)) AS INTEGER) AS same_end FROM pages",
     "offset_maps_pages": f"SELECT page_id, CAST(length(t) AS INTEGER) AS clean_length, CAST(length(html) AS INTEGER) AS raw_length, CAST(length(regexp_extract(html, '^(?:{_TAG})+')) * 0 + CASE WHEN starts_with(html, '<!') THEN 0 ELSE length(regexp_extract(html, '^{_TAG}')) END AS INTEGER) AS first_at, CAST(length(html) AS INTEGER) AS end_at, CAST(len(list_filter(string_split_regex(html, '{_TAG}'), lambda x, i: i > 1 AND x <> '')) + CASE WHEN regexp_matches(html, '{_TAG}$') THEN 1 ELSE 0 END AS INTEGER) AS n_keys FROM (SELECT page_id, html, regexp_replace(html, '{_TAG}', '', 'g') AS t FROM pages)",
     "numbered_line_sink": f"SELECT '[' || line_id || '] ' || line AS value FROM {_LINES}",
 }

@@ -153,3 +153,18 @@ def test_files_and_stream(spark, tmp_path):
     assert sorted((r.doc_id, r.sent_id, r.sent) for r in back.collect()) == [(1, 0, "One."), (1, 1, "Two."), (2, 0, "Three!")]
     write_lines(back, str(tmp_path / "lines"), "doc_id", "sent_id")
     assert sorted(r.value for r in spark.read.text(str(tmp_path / "lines")).collect()) == ["[0] One.", "[0] Three!", "[1] Two."]
+
+
+def test_asof_by_slices_gives_the_same(spark):
+    """A hot key, ties, nulls, empty slices and groups without right rows."""
+    import random
+
+    rng = random.Random(2)
+    place = lambda: rng.choice([None, *range(100)])
+    left = spark.createDataFrame([(rng.choice(["hot", "hot", "a", "b", None]), place(), i) for i in range(300)], "g string, t int, id int")
+    right = spark.createDataFrame([(rng.choice(["hot", "hot", "a", None]), place(), rng.randrange(50)) for _ in range(60)], "g string, t int, v int")
+    want = sorted(map(str, asof(left, right, "t", ["g"], ["v"]).collect()))
+    for width in (1, 7, 40):
+        assert sorted(map(str, asof(left, right, "t", ["g"], ["v"], F.floor(F.col("t") / width)).collect())) == want
+    assert asof(left.where("false"), right, "t", ["g"], ["v"], F.col("t")).count() == 0
+    assert asof(left, right.where("false"), "t", ["g"], ["v"], F.col("t")).where("v IS NOT NULL").count() == 0
