@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from tessella.functions.columns import Stage, any_of, each, run, sub
 from tessella.functions.languages import profile
-from tessella.functions.sentinels import unmask
+from tessella.functions.sentinels import ARABIC_COMMA, COLON, unmask
 from tessella.operators import cleaning, lists, masking
 from tessella.operators.segment import segment, sentences
 
@@ -126,7 +126,12 @@ PROBES: list[Probe] = [
     Probe("mask_pairs_de", "p_name || ' „so. what?“ x. ,,' || p_brand || '!“ y.'", lambda: [each(x, masking.mask) for x in _DE.pairs], _each("„[^“]+“|,,[^“]+“", _MASKED)),
     Probe("mask_all_periods_de", f"'Das ist z.B. ein Bsp. und Nr. ' || {SIZE} || ' von Dr. ' || p_name || ' usw. am Ende.'", lambda: masking.lexicon(_DE), _each(rf"(?i)\b(?:{any_of(w for w in _DE_WORDS if not w.endswith('.'))})\.", f"replace({{m}}, '.', {P})")),
     Probe("mask_rules_de", f"'am ' || {SIZE} || '. Mai und ' || {SIZE} || '. im x. Jahr ' || p_name || '.'", lambda: [sub(a, b) for a, b in _DE.rules], _chain("{t}", (rf"(\d)\.(\s*(?:{_MONTHS}))", r"'\1' || chr(57344) || '\2'"), (r"((?:^|\s)-?\d{{1,2}})\.(\s)", r"'\1' || chr(57344) || '\2'"), (r"((?:^|\s)[a-z])\.(\s)", r"'\1' || chr(57344) || '\2'"))),
-    Probe("clean_rules_ja", f"p_name || 'の' || {NL} || p_brand || 'の' || {NL} || ' x'", lambda: [cleaning.Edit(a, b).stage for a, b in profile("ja").clean_rules], rr("{t}", r"(の)\n(\S)", r"'\1\2'")),
+    Probe("mask_rules_da", f"'den ' || {SIZE} || '. maj og -' || {SIZE} || '. ' || p_name || ' 1' || {K} || '00. x'", lambda: [sub(a, b) for a, b in profile("da").rules], rr("{t}", r"(\s-?\d{{1,2}})\.(\s)", r"'\1' || chr(57344) || '\2'")),
+    Probe("mask_rules_sk", f"'dňa ' || {SIZE} || '. Mája, ' || {SIZE} || '. ročník, XV. Storočie, ' || {SIZE} || '. Praha ' || p_name", lambda: [sub(a, b) for a, b in profile("sk").rules], _chain("{t}", (r"(\d)\.(\s*(?:Mája|[a-z]))", r"'\1' || chr(57344) || '\2'"), (r"((?:^|\s)[VXI]+)\.(\s)", r"'\1' || chr(57344) || '\2'"))),
+    Probe("mask_rules_kk", "'Не? - деді ' || p_name || '! — деп ' || p_brand || '? Иә! ' || lower(p_type)", lambda: [sub(a, b) for a, b in profile("kk").rules[1:]], _chain("{t}", (r"\?(\s*[-—])", r"chr(57349) || '\1'"), (r"!(\s*[-—])", r"chr(57348) || '\1'"))),
+    Probe("mask_rules_fa", f"'ساعت ' || {SIZE} || ':30 و: سیب، ' || p_brand || '، ' || p_name", lambda: [sub(a, b) for a, b in profile("fa").rules], _chain("{t}", (r"(\d):(\d)", rf"'\1{COLON}\2'"), (r"،(\s\S+،)", rf"'{ARABIC_COMMA}\1'"))),
+    Probe("mask_initialism_ru", f"'в т.д. и ' || p_name || ' Т.С.Ш. ' || {SIZE} || ' и т. п. ' || p_brand || ' а.б'", lambda: [masking.initialisms(profile("ru"))], _each(r"[Ѐ-ӿ]+(?:\.[Ѐ-ӿ]+)+\.?", f"replace({{m}}, '.', {P})")),
+    Probe("clean_rules_ja",f"p_name || 'の' || {NL} || p_brand || 'の' || {NL} || ' x'", lambda: [cleaning.Edit(a, b).stage for a, b in profile("ja").clean_rules], rr("{t}", r"(の)\n(\S)", r"'\1\2'")),
     Probe("custom_rules", "p_name || ' <x> ' || p_brand || ' ###'", lambda df, col: cleaning.clean(df, col, custom=[("#+", "$"), ("small", "tiny")]), _chain("replace({t}, ' <x>', ' ')", ("#+", "'$'"), ("small", "'tiny'"))),
     Probe("unmask_all", f"p_name || {P} || '\ue004\ue005' || p_brand || '\ue010\ue013\ue00b\ue021'", lambda: [unmask], "replace(replace(replace(translate({t}, chr(57344) || chr(57348) || chr(57349) || chr(57377), '.!? '), chr(57360), '?!'), chr(57363), '!!'), chr(57355), '')"),
     Probe("numbered_list_validity", _LISTED, lists.mask_numbered, _list_oracle(r"\d{{1,3}}\.", "CAST(regexp_extract(x, '\\d+') AS INTEGER)", "(v[i] = 1 AND i = 1)", "replace({x}, '.', chr(57344))")),
