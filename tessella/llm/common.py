@@ -56,10 +56,28 @@ def scratch(spark: SparkSession) -> Iterator[None]:
         place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
+_SWEEP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def _swept(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files of what is written under it go when it is written, not when the driver next collects its garbage."""
+    before = spark.conf.get(_SWEEP, None)
+    spark.conf.set(_SWEEP, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(_SWEEP)
+        else:
+            spark.conf.set(_SWEEP, before)
+
+
 def written(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
     """``df`` as a Parquet table in the shared folder: computed once, lineage cut, safe from lost executors."""
     path = path or new_path(df.sparkSession, name)
-    df.write.parquet(path)
+    with _swept(df.sparkSession):
+        df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm.common import checkpointed
+from tessella.llm.common import written
 
 
 def _least(links: DataFrame) -> DataFrame:
@@ -21,7 +21,7 @@ def _joined(links: DataFrame) -> DataFrame:
 def components(links: DataFrame, a: str, b: str, rounds: int = 60) -> DataFrame:
     """``node, root`` for each end of a link; root is the smallest node reachable. Links of a node to itself are ignored."""
     now = links.select(F.greatest(a, b).cast("long").alias("u"), F.least(a, b).cast("long").alias("v")).where("u != v").distinct()
-    now, seen = checkpointed(now), None
+    now, seen = written(now, "links"), None
     for _ in range(rounds):
         # larger neighbours move to the smallest one
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -29,7 +29,7 @@ def components(links: DataFrame, a: str, b: str, rounds: int = 60) -> DataFrame:
         # smaller neighbours, and the node, do
         small = _joined(large)
         small = small.select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("x")).select("x.u", "x.v").where("u != v").distinct()
-        now = checkpointed(small)
+        now = written(small, "links")
         state = now.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
         if state == seen:
             break

@@ -23,7 +23,7 @@ a ninth of both sizes: the test loses no pair. In crowded keys it is a part of t
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
 from itertools import combinations
 
@@ -44,6 +44,8 @@ WORDS_OF_64, WIDTH, SEGMENTS, FLIPS = 8, 24, 21, 3
 HEAD_FAR, FAR = 22, 112
 #: Other keys give at most so many pairs a visit, unfiltered: in proportion to the input.
 CROWD = 3
+#: Segments whose tables are met at once: what is shuffled for them stands on disk together.
+TURN = 7
 PARITIES = 256
 SEED = 42
 _STARS = 2
@@ -143,9 +145,10 @@ def _sets(docs: DataFrame, id_col: str, text_col: str, nodes: DataFrame) -> Data
     return written(made.join(if_small(nodes.select("fp")), "fp", "left_semi").groupBy("fp").agg(F.first("hashes").alias("hashes")), "wide-sets")
 
 
-def _shelf(nodes: DataFrame) -> DataFrame:
-    """``key, fp, root, head``: each node under its own keys; ``m1..``: the masks of the key's least certain bits."""
-    rows = nodes.select("fp", "root", "head", "low", F.posexplode("keys").alias("seg", "part"))
+def _shelf(nodes: DataFrame, first: int = 0, many: int = SEGMENTS) -> DataFrame:
+    """``key, fp, root, head``: each node under its own keys, or those of ``many`` segments from ``first``; ``m1..``: the
+    masks of the key's least certain bits."""
+    rows = nodes.select("fp", "root", "head", "low", F.posexplode(F.slice("keys", first + 1, many)).alias("at", "part")).withColumn("seg", F.col("at") + first)
     masks = [F.get("low", F.col("seg") * FLIPS + i).alias(f"m{i}") for i in range(FLIPS)]
     return rows.select(F.shiftleft("seg", WIDTH).bitwiseOR(F.col("part")).alias("key"), "fp", "root", "head", *masks)
 
@@ -226,6 +229,13 @@ def _star_links(nodes: DataFrame, crowded: DataFrame, decide) -> DataFrame:
     return found
 
 
+def _in_turns(nodes: DataFrame, meet: Callable[[DataFrame], list[DataFrame]]) -> DataFrame:
+    """The pairs of all segments; ``meet`` gives those of some segments' shelf. Pairs are few beside the keys that are
+    shuffled for them, so they are written after each turn and each join, and the shuffle goes."""
+    met = [written(pairs, "wide-met") for at in range(0, SEGMENTS, TURN) for pairs in meet(_shelf(nodes, at, TURN))]
+    return reduce(DataFrame.unionByName, met)
+
+
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", crowd: int = CROWD) -> DataFrame:
     """One row per input row: doc_id, fp (of the set), component_id (smallest id reachable, itself included).
 
@@ -245,21 +255,23 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     crowded = written(_shelf(nodes).groupBy("key").count().where(F.col("count") > crowd).select("key"), "wide-crowded")
     if not crowded.limit(1).count():
-        found = decide(_meet(_walks(_shelf(nodes)), _shelf(nodes)))
+        found = decide(_in_turns(nodes, lambda shelf: [_meet(_walks(shelf), shelf)]))
     else:
         crowded = if_small(crowded)
         stars = _star_links(nodes, crowded, decide)
         now = written(_rooted(nodes, stars), "wide-named")
-        shelf = _shelf(now)
-        walks, shelf = _walks(shelf), shelf.select("key", "fp", "root", "head")
         # in a crowded key the largest component's members meet the others only
-        sizes = shelf.join(crowded, "key", "left_semi").groupBy("key", "root").count()
+        sizes = _shelf(now).join(crowded, "key", "left_semi").groupBy("key", "root").count()
         top = if_small(written(sizes.groupBy("key").agg(F.max_by("root", F.struct("count", "root")).alias("top")), "wide-top"))
         dense = lambda rows: rows.join(top, "key").join(now.select("fp", "size", "odd"), "fp")
-        big, w, s = F.col("root") == F.col("top"), dense(walks), dense(shelf)
-        pairs = _meet(walks.join(crowded, "key", "left_anti"), shelf.join(crowded, "key", "left_anti"))
-        pairs = pairs.unionByName(_meet(w.where(~big).drop("top"), s.drop("top"), True)).unionByName(_meet(w.where(big).drop("top"), s.where(~big).drop("top"), True))
-        found = stars.unionByName(decide(pairs))
+
+        def meet(shelf: DataFrame) -> list[DataFrame]:
+            walks, shelf = _walks(shelf), shelf.select("key", "fp", "root", "head")
+            big, w, s = F.col("root") == F.col("top"), dense(walks), dense(shelf)
+            sparse = _meet(walks.join(crowded, "key", "left_anti"), shelf.join(crowded, "key", "left_anti"))
+            return [sparse, _meet(w.where(~big).drop("top"), s.drop("top"), True), _meet(w.where(big).drop("top"), s.where(~big).drop("top"), True)]
+
+        found = stars.unionByName(decide(_in_turns(now, meet)))
     roots = components(found, "a", "b")
     tied = nodes.select("fp", "least").join(roots, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     tied = written(tied, "wide-tied")
