@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessella.llm.common import checkpointed, if_small, n_words, written
+from tessella.llm.common import if_small, n_words, written
 
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
@@ -43,11 +43,24 @@ def _ranked(totals: DataFrame) -> DataFrame:
     return ranged.join(parts, "__part").withColumn("__rank", place).drop("__part", "__n", "__before")
 
 
-def targets(rows: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:
-    """Per source key: ``__total`` words, ``__target`` words."""
-    totals = rows.groupBy("__key").agg(F.sum("__size").alias("__total"))
+def cells(rows: DataFrame) -> DataFrame:
+    """The first histogram: per key, class and bucket of the first bits ``__b`` its words ``__s`` and its ends ``__lo, __hi``.
+
+    Small, as all tables here that come of it: they are written, since a written table is read in few tasks and its size
+    is known, where a checkpoint keeps a task for each partition, full or empty.
+    """
+    return written(_sums(rows.withColumn("__b", F.shiftrightunsigned("__h", _BITS - _STEP)), "__key", "__cls", "__b"), "mix-cells")
+
+
+def _sums(rows: DataFrame, *by: str) -> DataFrame:
+    return rows.groupBy(*by).agg(F.sum("__size").alias("__s"), F.min("__h").alias("__lo"), F.max("__h").alias("__hi"))
+
+
+def targets(histogram: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:
+    """Per source key of ``cells``: ``__total`` words, ``__target`` words."""
+    totals = histogram.groupBy("__key").agg(F.sum("__s").alias("__total"))
     weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.col("__rank") % len(weights) + 1).cast("int"))
-    sources = checkpointed(_ranked(totals).select("__key", "__total", weight.alias("__w"), (F.col("__total") * most).alias("__cap")))
+    sources = written(_ranked(totals).select("__key", "__total", weight.alias("__w"), (F.col("__total") * most).alias("__cap")), "mix-weights")
     want = share * (sources.agg(F.sum("__total")).first()[0] or 0)
     level, full = 0.0, -1
     while True:  # the level only rises, and each round fills a source or is the last
@@ -59,26 +72,26 @@ def targets(rows: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float
     return sources.select("__key", "__total", F.least(F.col("__cap"), F.lit(level) * F.col("__w")).alias("__target"))
 
 
-def fill(rows: DataFrame, budgets: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Chooses rows for the ``__budget`` words of each key, at most once each.
+def fill(rows: DataFrame, histogram: DataFrame, budgets: DataFrame) -> DataFrame:
+    """Chooses rows, of which ``histogram`` has the ``cells``, for the ``__budget`` words of each key, at most once each.
 
     Returns per key and class the hash below which rows are taken and the hash (null: none) at the end of the class's
-    budget that is taken too: ``__thr, __also``; and per key the words that are left over: ``__left``.
+    budget that is taken too: ``__thr, __also``; and the words that are left over for the key: ``__left``.
     """
-    rows = rows.where("__cls >= 0")
-    classes = rows.groupBy("__key", "__cls").agg(F.sum("__size").alias("__class_total"))
-    totals = rows.groupBy("__key").agg(F.sum("__size").alias("__all"))
+    rows, histogram = rows.where("__cls >= 0"), histogram.where("__cls >= 0")
+    budgets = budgets.select("__key", "__budget")
+    classes = histogram.groupBy("__key", "__cls").agg(F.sum("__s").alias("__class_total"))
+    totals = histogram.groupBy("__key").agg(F.sum("__s").alias("__all"))
     share = F.least(F.lit(1.0), F.col("__budget") / F.col("__all")) * F.col("__class_total")
-    classes = classes.join(totals, "__key").join(budgets.select("__key", "__budget"), "__key")
-    state = checkpointed(classes.select("__key", "__cls", share.alias("__share"), F.lit(0).cast("long").alias("__pre"), F.lit(0).cast("long").alias("__below")))
+    state = classes.join(totals, "__key").join(budgets, "__key").select("__key", "__cls", share.alias("__share"), F.lit(0).cast("long").alias("__below"))
+    sums = histogram.join(state, ["__key", "__cls"])
     fixed, depth = None, 0
     mine = Window.partitionBy("__key", "__cls")
     while True:
         depth += _STEP
-        # rows of the buckets that the last round left open: their prefix is part of the join's key
-        held = rows.withColumn("__pre", F.shiftrightunsigned("__h", _BITS - depth + _STEP))
-        open_ = held.join(state, ["__key", "__cls", "__pre"])
-        sums = open_.withColumn("__b", F.shiftrightunsigned("__h", _BITS - depth)).groupBy("__key", "__cls", "__b", "__share", "__below").agg(F.sum("__size").alias("__s"), F.min("__h").alias("__lo"), F.max("__h").alias("__hi"))
+        if depth > _STEP:  # rows of the buckets that the last round left open: their prefix is part of the join's key
+            held = rows.withColumn("__pre", F.shiftrightunsigned("__h", _BITS - depth + _STEP)).join(state, ["__key", "__cls", "__pre"])
+            sums = _sums(held.withColumn("__b", F.shiftrightunsigned("__h", _BITS - depth)), "__key", "__cls", "__b", "__share", "__below")
         sums = sums.withColumn("__upto", F.col("__below") + F.sum("__s").over(mine.orderBy("__b")))
         end = F.min(F.when(F.col("__upto") > F.col("__share"), F.col("__b")))
         found = (
@@ -87,7 +100,7 @@ def fill(rows: DataFrame, budgets: DataFrame) -> tuple[DataFrame, DataFrame]:
             .groupBy("__key", "__cls", "__share", "__end")
             .agg(F.max(F.when(F.col("__end").isNull(), F.col("__upto")).otherwise(F.col("__upto") - F.col("__s"))).alias("__below"), F.max("__s").alias("__s"), F.min("__lo").alias("__lo"), F.max("__hi").alias("__hi"))
         )
-        found = checkpointed(found)
+        found = written(found, "mix-found")
         done = found.where("__end is null or __lo = __hi").select(
             "__key", "__cls", "__below", F.when(F.col("__end").isNull(), F.lit(1 << _BITS)).otherwise(F.shiftleft("__end", _BITS - depth)).alias("__thr"),
             F.when(F.col("__end").isNotNull(), F.col("__lo")).alias("__unit_h"), F.when(F.col("__end").isNotNull(), F.col("__s")).alias("__unit"))
@@ -97,12 +110,12 @@ def fill(rows: DataFrame, budgets: DataFrame) -> tuple[DataFrame, DataFrame]:
             break
     # what stands at the ends: at most one hash a class, so at most 63 a key are gathered; the larger ones choose first
     ends = fixed.groupBy("__key").agg(F.sum("__below").alias("__sum"), F.sort_array(F.collect_list(F.when(F.col("__unit").isNotNull(), F.struct("__unit", "__cls"))), asc=False).alias("__ends"))
-    ends = ends.join(budgets.select("__key", "__budget"), "__key").withColumn("__left", F.col("__budget") - F.col("__sum"))
+    ends = ends.join(budgets, "__key").withColumn("__left", F.col("__budget") - F.col("__sum"))
     start = F.struct(F.col("__left").alias("left"), F.array().cast("array<int>").alias("took"))
     step = lambda s, x: F.when(x["__unit"] <= s["left"], F.struct((s["left"] - x["__unit"]).alias("left"), F.concat(s["took"], F.array(x["__cls"].cast("int"))).alias("took"))).otherwise(s)
-    took = checkpointed(ends.select("__key", F.aggregate("__ends", start, step).alias("__t")).select("__key", F.col("__t.took").alias("__took"), F.col("__t.left").alias("__left")))
+    took = ends.select("__key", F.aggregate("__ends", start, step).alias("__t")).select("__key", F.col("__t.took").alias("__took"), F.col("__t.left").alias("__left"))
     also = F.when(F.array_contains("__took", F.col("__cls").cast("int")), F.col("__unit_h")).alias("__also")
-    return checkpointed(fixed.join(took, "__key").select("__key", "__cls", "__thr", also)), took.select("__key", "__left")
+    return written(fixed.join(took, "__key").select("__key", "__cls", "__thr", also, "__left"), "mix-filled")
 
 
 def _once(thr: str, also: str) -> Column:
@@ -119,15 +132,18 @@ def decisions(rows: DataFrame, weights: tuple[float, ...], share: float, most: f
 
     Words that the first round leaves over go to a second one, among documents that fit and were not yet taken.
     """
-    wanted = targets(rows, weights, share, most)
+    histogram = cells(rows)
+    wanted = targets(histogram, weights, share, most)
     whole = F.when(F.col("__total") > 0, F.floor(F.col("__target") / F.col("__total"))).otherwise(0).cast("long")
-    wanted = checkpointed(wanted.withColumn("__whole", whole).withColumn("__budget", F.col("__target") - F.col("__whole") * F.col("__total")))
-    first, left = fill(rows, wanted)
-    rest = rows.join(first, ["__key", "__cls"]).where(~_once("__thr", "__also")).join(left, "__key").where("__size <= __left")
-    second, _ = fill(rest.select(*rows.columns), left.withColumnRenamed("__left", "__budget"))
+    wanted = written(wanted.withColumn("__whole", whole).withColumn("__budget", F.col("__target") - F.col("__whole") * F.col("__total")), "mix-wanted")
+    first = fill(rows, histogram, wanted)
+    left = first.groupBy("__key").agg(F.first("__left").alias("__left"))
+    rest = rows.join(first, ["__key", "__cls"]).where(~_once("__thr", "__also") & (F.col("__size") <= F.col("__left"))).select(*rows.columns)
+    second = fill(rest, cells(rest), left.withColumnRenamed("__left", "__budget"))
     second = second.select("__key", "__cls", F.col("__thr").alias("__thr2"), F.col("__also").alias("__also2"))
-    known = rows.select("__key", "__cls").distinct().join(wanted.drop("__budget"), "__key")
-    return checkpointed(known.join(first, ["__key", "__cls"], "left").join(left, "__key", "left").join(second, ["__key", "__cls"], "left"))
+    known = histogram.select("__key", "__cls").distinct().join(wanted.drop("__budget"), "__key")
+    first = first.drop("__left")
+    return written(known.join(first, ["__key", "__cls"], "left").join(left, "__key", "left").join(second, ["__key", "__cls"], "left"), "mix-decided")
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:

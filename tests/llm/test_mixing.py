@@ -88,3 +88,29 @@ def test_word_counts(spark):
     texts = [None, "", " ", "a", " a b ", "a\u00a0b\tc", "x\ny\r\nz\x0bq\fw", "é☃ 日本"]
     df = spark.createDataFrame([(t,) for t in texts], "t string").select(n_words(__import__("pyspark.sql.functions", fromlist=["col"]).col("t")).alias("n"))
     assert [r.n for r in df.collect()] == [len(re.findall(r"[^\x20\x09-\x0D]+", t or "")) for t in texts]
+
+
+@pytest.fixture
+def dealt_out(spark):
+    """A session that keeps 64 partitions after each shuffle, however few rows there are."""
+    kept = {"spark.sql.shuffle.partitions": "64", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in kept}
+    for k, v in kept.items():
+        spark.conf.set(k, v)
+    yield spark
+    for k, v in before.items():
+        spark.conf.set(k, v)
+
+
+def test_small_tables_cost_few_tasks(dealt_out):
+    """What the mix decides fits a few rows a source; the tasks that make it are the driver's memory and event log."""
+    sc, made = dealt_out.sparkContext, mixing._rows(table(dealt_out, rows(1)), "doc_id", "source", "text").cache()
+    made.count()
+    sc.setJobGroup("decide", "")
+    decided = mixing.decisions(made, mixing.WEIGHTS, mixing.SHARE, mixing.MOST)
+    sc.setLocalProperty("spark.jobGroup.id", None)
+    status = sc.statusTracker()
+    stages = {s for j in status.getJobIdsForGroup("decide") for s in status.getJobInfo(j).stageIds}
+    tasks = sum(i.numCompletedTasks for i in map(status.getStageInfo, stages) if i)
+    made.unpersist()
+    assert decided.rdd.getNumPartitions() < 64 and tasks < 2500
